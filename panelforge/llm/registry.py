@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import hilbert, packing
+from panelforge.llm import decontam, hilbert, html_text, langid, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in ten-word windows of benchmark items."""
+    return decontam.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 runs of a Hilbert curve, row counts at most one apart."""
     shards = hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), n_shards=24)
@@ -25,8 +30,49 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three folds of four by a checksum of the id."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = langid.train(docs.filter(~held_out & F.col("text").isNotNull() & F.col("lang").isNotNull()))
+    said = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return said.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
+}
+# Checked by tests against brute force: the rank in the order, the plan of lengths and the models are beyond SQL.
+ORACLES: dict[str, str] = {
+    "op2_decontamination": """
+        WITH items AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+        ), docs AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), wins AS (
+            SELECT DISTINCT item_id, w[s:s + 9] AS win, len(w[s:s + 9]) AS n
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0)
+        ), sizes AS (SELECT DISTINCT n FROM wins
+        ), spots AS (
+            SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, sizes WHERE len(w) >= n
+        ), met AS (
+            SELECT doc_id, s, spots.n, item_id FROM spots JOIN wins ON spots.n = wins.n AND w[s:s + spots.n - 1] = win
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM met) GROUP BY doc_id
+        ), ids AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM met) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+    """,
 }
-ORACLES: dict[str, str] = {}
