@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most_bytes: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
+    """df, marked for broadcast only if it is counted and small: rows times row_bytes under the bound. df should be stored."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from panelforge.llm.common import small_side, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,23 +51,16 @@ def _tokens(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("*", F.posexplode("found").alias("at", "_word")).drop("_word").withColumn("token", _token(F.col("found"), F.col("at"), size))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A word is hit if it lies in an occurrence of any window; n_items counts the items with occurring windows, and
-    items_sha256 is over their ids, sorted as strings and joined by commas. An item of fewer words than a window is one
-    window, one without words is none.
-
-    Null and empty texts have no words. Rows with the same id and text each get the same result; rows with the same id
-    and another text, or a null id, are told apart. Item rows with the same id are one item; a null item id matches but
-    is not counted among the items. Empty tables give no rows, or no hits.
-
-    The benchmark is broadcast only if it has at most broadcast_rows shingles (counted first; a row has at most `window`
-    words); a larger one is joined by shuffles, where document shingles carry the words around them.
-    """
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _text and _key, a hash of the text that tells rows with the same id apart."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     docs = docs.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    shingles = windows(items, window, shingle, item_id_col, item_text_col).cache()
+    return docs
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_id_col: str, item_text_col: str, broadcast_rows: int) -> DataFrame | None:
+    """_id, _k, n_hit, ids (item ids) of the keyed documents that hold windows; None if there are no windows."""
+    shingles = stored(windows(items, window, shingle, item_id_col, item_text_col), "windows")
     stats = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.count("*").alias("n")).collect()}
     small = sum(stats.values()) <= broadcast_rows
     side = F.broadcast if small else (lambda x: x)
@@ -87,19 +82,39 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         met = each.join(side(prefix), "token").filter((start >= 0) & (start + F.col("length") <= F.col("_n"))).filter(same)
         met = met.select("doc_id", "_key", start.alias("start"), (start + F.col("length")).alias("end"), "item_id")
         hits = met if hits is None else hits.unionByName(met)
-    counted = docs.select("doc_id", "_key", F.coalesce(F.regexp_count("_text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     if hits is None:
-        none = F.sha2(F.lit("").cast("binary"), 256)
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return None
     spans = hits.groupBy("doc_id", "_key", "start", "end").agg(F.collect_set("item_id").alias("ids"))
     reached = F.max("end").over(W.partitionBy("doc_id", "_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0))), F.lit(0))
-    found = (
+    return (
         spans.withColumn("_fresh", fresh)
         .groupBy("doc_id", "_key")
         .agg(F.sum("_fresh").cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
         .withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
     )
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A word is hit if it lies in an occurrence of any window; n_items counts the items with occurring windows, and
+    items_sha256 is over their ids, sorted as strings and joined by commas. An item of fewer words than a window is one
+    window, one without words is none.
+
+    Null and empty texts have no words. Rows with the same id and text each get the same result; rows with the same id
+    and another text, or a null id, are told apart. Item rows with the same id are one item; a null item id matches but
+    is not counted among the items. Empty tables give no rows, or no hits.
+
+    The benchmark is broadcast only if it has at most broadcast_rows shingles (counted first; a row has at most `window`
+    words); a larger one is joined by shuffles, where document shingles carry the words around them.
+    """
+    docs = _keyed(docs, id_col, text_col)
+    found = _found(docs, items, window, shingle, item_id_col, item_text_col, broadcast_rows)
+    counted = docs.select("doc_id", "_key", F.coalesce(F.regexp_count("_text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    if found is None:
+        none = F.sha2(F.lit("").cast("binary"), 256)
+        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     ids = F.coalesce(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), F.array().cast("array<string>"))
     return counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").select(
         "doc_id",
@@ -109,3 +124,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns; the rules are those of decontaminated()."""
+    found = _found(_keyed(docs, id_col, text_col), items, window, shingle, item_id_col, item_text_col, broadcast_rows)
+    if found is None:
+        return docs
+    hit = small_side(stored(found.select("_id", "_k"), "contaminated"))
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_k")), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, hilbert, html_text, langid, packing, winnow
+from panelforge.llm import decontam, hilbert, html_text, jaccard_join, langid, packing, secret_scan, suffix_dedup, token_counts, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,27 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of all documents, encoded as whole documents."""
+    return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, over five-word shingles with a Jaccard similarity of 0.8."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "cls")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, told from false positives by a random forest."""
+    found = secret_scan.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), secret_scan.train(spark))
+    return found.select("doc_id", "n_candidates", "n_secrets", "secrets", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that also start elsewhere."""
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 runs of a Hilbert curve, row counts at most one apart."""
     shards = hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), n_shards=24)
@@ -52,7 +73,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
