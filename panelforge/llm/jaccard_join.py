@@ -26,7 +26,8 @@ from panelforge.llm.shingles import mixed, shingle_sets
 
 NEED_I, NEED_S = 9, 4  # Jaccard of 0.8 or more: 9 * intersection >= 4 * (sum of the sizes)
 COARSE = 16
-TOKENS_A_BUCKET = 1_500_000
+TOKENS_A_BUCKET = 2_500_000
+OPEN_PAIRS = 100_000  # under this many pairs to search, no further round of likely links is worth its jobs
 ROWS_A_CELL = 4_096
 
 
@@ -36,9 +37,13 @@ def enough(overlap, sizes):
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the token groups; about four tokens a group, 16 to 1024 groups, a power of two."""
-    groups = 1 << int(np.clip(np.log2(max(len(tokens) / 4, 1)), 4, 10))
-    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(0, 65_535).astype(np.uint16)
+    """Counts of the token groups: about one token a group, at least 16 groups, a power of two."""
+    groups = 1 << int(np.clip(np.log2(len(tokens)), 4, 13))
+    while True:
+        counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 1 << 16:
+            return counts.astype(np.uint16)
+        groups *= 2
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -122,10 +127,11 @@ def set_class(tokens: np.ndarray) -> int | None:
 
 
 def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str) -> DataFrame:
-    """cls, n, ids, token, df: the shingles that at least two different sets hold, with how many do.
+    """cls, lost, token, df: the shingles that at least two different sets hold, with how many do.
 
     A token is 32 bits of its hash and a bucket, so tasks exchange four bytes a token: each batch sends one row per
-    bucket, with its tokens and the sets they belong to. `ids` is how many tokens of this form the set has.
+    bucket, with its tokens and the sets they belong to. `lost` is how many shingles of the set fell together in this
+    form.
     """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,9 +145,9 @@ def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str)
                 sent.add(cls)
                 ids = np.unique(((x >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF)))
                 tokens.append(ids)
-                head.append((cls, len(x), len(ids)))
+                head.append((cls, len(x) - len(ids)))
                 size += len(ids)
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield _bundles(tokens, head)
                     tokens, head, size = [], [], 0
             if tokens:
@@ -159,32 +165,32 @@ def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str)
         if held:
             yield _repeated(bucket, held)
 
-    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(send, "bucket long, tokens binary, cls binary, n binary, ids binary, runs binary")
+    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(send, "bucket long, tokens binary, cls binary, lost binary, runs binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(meet, "cls long, n long, ids long, token long, df long")
+    return dealt.mapInPandas(meet, "cls long, lost long, token long, df long")
 
 
 def _bundles(tokens: list[np.ndarray], head: list[tuple[int, int, int]]) -> pd.DataFrame:
-    """One row per bucket: its tokens (32 bits each), and cls, n, ids and run length of the sets they come from."""
+    """One row per bucket: its tokens (32 bits each), and cls, lost and run length of the sets they come from."""
     line, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
     bucket = (line >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     line, owner, bucket = line[order].astype(np.uint32), owner[order], bucket[order]
-    cls, n, ids = (np.array(x, t) for x, t in zip(zip(*head), (np.int64, np.int64, np.int64)))
+    cls, lost = (np.array(x, t) for x, t in zip(zip(*head), (np.int64, np.uint32)))
     cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
         mine = owner[a:b]
         runs = np.flatnonzero(np.diff(mine, prepend=-1, append=-1))
         who = mine[runs[:-1]]
-        rows.append((int(bucket[a]), line[a:b].tobytes(), cls[who].tobytes(), n[who].tobytes(), ids[who].tobytes(), np.diff(runs).astype(np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "tokens", "cls", "n", "ids", "runs"])
+        rows.append((int(bucket[a]), line[a:b].tobytes(), cls[who].tobytes(), lost[who].tobytes(), np.diff(runs).astype(np.uint32).tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "tokens", "cls", "lost", "runs"])
 
 
 def _repeated(bucket: int, rows: list) -> pd.DataFrame:
     """The tokens of a bucket that two sets hold. A set that came from several batches counts once."""
     token = np.concatenate([np.frombuffer(r.tokens, np.uint32) for r in rows])
-    cls, n, ids, runs = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in rows]) for c in ("cls", "n", "ids", "runs"))
+    cls, lost, runs = (np.concatenate([np.frombuffer(getattr(r, c), t) for r in rows]) for c, t in (("cls", np.int64), ("lost", np.uint32), ("runs", np.uint32)))
     first = np.zeros(len(cls), bool)
     first[np.unique(cls, return_index=True)[1]] = True
     token, owner = token[np.repeat(first, runs)], np.repeat(np.flatnonzero(first), runs[first])
@@ -195,22 +201,24 @@ def _repeated(bucket: int, rows: list) -> pd.DataFrame:
     df = np.repeat(df, df)
     keep = df >= 2
     who = owner[order][keep]
-    return pd.DataFrame({"cls": cls[who], "n": n[who], "ids": ids[who], "token": ranked[keep].astype(np.int64) | (bucket << 32), "df": df[keep]})
+    return pd.DataFrame({"cls": cls[who], "lost": lost[who].astype(np.int64), "token": ranked[keep].astype(np.int64) | (bucket << 32), "df": df[keep]})
 
 
-def shards(shared: DataFrame) -> DataFrame:
-    """token, cls, n: the necessary prefix of each set, rarest shingles first; sets without a partner have none.
+def shards(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, cls: the necessary prefix of each set, rarest shingles first; sets without a partner have none.
 
     A partner shares at least ceil(0.8 n) shingles, so the n - ceil(0.8 n) + 1 rarest hold a common one. Those that no
-    other set has come first and need no row.
+    other set has come first and need no row. Of shards with the same sets, one is kept.
     """
     need = F.expr("int((4 * n + 4) div 5)")
-    slots = shared.groupBy("cls").agg(F.max("n").alias("n"), F.max("ids").alias("ids"), F.count("*").alias("found"))
-    slots = slots.withColumn("slots", F.col("n") - F.col("ids") - need + 1 + F.col("found")).filter("slots > 0").select("cls", "slots")
+    slots = shared.groupBy("cls").agg(F.max("lost").alias("lost"), F.count("*").alias("found"))
+    slots = slots.join(classes.select("cls", "n"), "cls").withColumn("slots", F.col("lost") - need + 1 + F.col("found")).filter("slots > 0").select("cls", "slots")
     slots = stored(slots, "slots")
-    kept = shared.join(small_side(slots), "cls")
     place = F.row_number().over(W.partitionBy("cls").orderBy("df", "token"))
-    return kept.withColumn("_place", place).filter("_place <= slots").select("token", "cls", "n")
+    prefix = stored(shared.join(small_side(slots), "cls").withColumn("_place", place).filter("_place <= slots").select("token", "cls"), "prefix")
+    marks = prefix.groupBy("token").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    chosen = stored(marks.filter("rows > 1").groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token"), "chosen")
+    return prefix.join(small_side(chosen), "token")
 
 
 def _bound_udf():
@@ -241,10 +249,11 @@ def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, shingle: int)
     return both.filter(_verify_udf(shingle)("a_text", "b_text")).select("a", "b")
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Pairs a, b from the R-trees of the cells; a cell is one shard, or two blocks of a large shard.
+def _cells(open_: DataFrame, points: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs a, b of different components from the R-trees of the open shards: all that the bounds leave, or, for each
+    set, only the nearest by its bound.
 
-    rows: token, i, j (blocks of the cell), block (of the row), cls, comp, n, coarse. Pairs of one component are left out.
+    A cell is one shard, or two blocks of a shard with more rows than one tree should hold.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,34 +263,99 @@ def _cells(rows: DataFrame) -> DataFrame:
             cut = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
             for a, b in zip(cut[:-1], cut[1:]):
                 if keys[a] != key and held:
-                    yield from _cell_pairs(pd.concat(held))
+                    yield from _cell_pairs(pd.concat(held), nearest)
                     held = []
                 key = keys[a]
                 held.append(batch.iloc[a:b])
         if held:
-            yield from _cell_pairs(pd.concat(held))
+            yield from _cell_pairs(pd.concat(held), nearest)
 
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(search, "a long, b long")
-
-
-def _cell_pairs(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    points = np.stack([np.frombuffer(x, np.int64) for x in cell["coarse"]])
-    cls, comp, block = (cell[c].to_numpy() for c in ("cls", "comp", "block"))
+    blocks = F.expr(f"int((rows + {ROWS_A_CELL - 1}) div {ROWS_A_CELL})")
+    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    dealt = dealt.join(points.select("cls", "n", "point"), "cls").select("token", "i", "j", "block", "cls", "comp", "n", "point")
+    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(search, "a long, b long")
+    return stored(found.distinct(), "pairs")
+
+
+class _Bounds:
+    """Overlap bounds of many pairs of points at once, at the finest grouping each pair has."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.points, self.sizes = points, np.array([len(p) for p in points])
+        self.at: dict[int, np.ndarray] = {}
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        found, least = np.zeros(len(x), np.int64), np.minimum(self.sizes[x], self.sizes[y])
+        for g in np.unique(least):
+            if g not in self.at:
+                wide = np.zeros((len(self.points), g), np.int32)
+                for k in np.flatnonzero(self.sizes >= g):
+                    wide[k] = folded(self.points[k], int(g))
+                self.at[g] = wide
+            which, step = np.flatnonzero(least == g), max(1, (1 << 20) // int(g))
+            for k in range(0, len(which), step):
+                s = which[k : k + step]
+                found[s] = np.minimum(self.at[g][x[s]], self.at[g][y[s]]).sum(1)
+        return found
+
+
+def _cell_pairs(cell: pd.DataFrame, nearest: bool) -> Iterator[pd.DataFrame]:
+    points = [np.frombuffer(x, np.uint16) for x in cell["point"]]
+    cls, comp, block, n = (cell[c].to_numpy() for c in ("cls", "comp", "block", "n"))
     across = cell["i"].iat[0] != cell["j"].iat[0]
-    for x, y in CountTree(points, cell["n"].to_numpy()).pairs():
+    bounds = _Bounds(points)
+    most, partner = np.zeros(len(n)), np.full(len(n), -1)
+    for x, y in CountTree(np.stack([folded(p, COARSE) for p in points]), n).pairs():
         keep = comp[x] != comp[y]
         if across:
             keep &= block[x] != block[y]
-        x, y = cls[x[keep]], cls[y[keep]]
-        yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
-
-
-def _coarse_udf():
-    def fold(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: folded(np.frombuffer(x, np.uint16), COARSE).tobytes())
-
-    fold.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-    return F.pandas_udf(fold, "binary")
+        x, y = x[keep], y[keep]
+        overlap, sizes = bounds.of(x, y), n[x] + n[y]
+        keep = enough(overlap, sizes)
+        x, y, ratio = x[keep], y[keep], overlap[keep] / sizes[keep]
+        if nearest:
+            order = np.argsort(ratio, kind="stable")  # of the pairs of one set, the last one written is the nearest
+            for u, v in ((x[order], y[order]), (y[order], x[order])):
+                best, who = np.zeros(len(n)), np.zeros(len(n), np.int64)
+                best[u], who[u] = ratio[order], v
+                better = best > most
+                most[better], partner[better] = best[better], who[better]
+        elif len(x):
+            yield pd.DataFrame({"a": np.maximum(cls[x], cls[y]), "b": np.minimum(cls[x], cls[y])}).drop_duplicates()
+    x = np.flatnonzero(partner >= 0)
+    if len(x):
+        yield pd.DataFrame({"a": np.maximum(cls[x], cls[partner[x]]), "b": np.minimum(cls[x], cls[partner[x]])}).drop_duplicates()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after the links a, b: components of the old roots, carried over to the nodes."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    at = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
+    over = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(at("a"), at("b")))
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
+    return stored(moved.unionByName(over.join(roots, "node", "left_anti")), "merged")
+
+
+def _open(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, cls, comp, rows (of the shard): the shards that hold several components."""
+    placed = cells.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
+    several = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("rows")).filter("_lo != _hi")
+    return stored(placed.join(several.select("token", "rows"), "token"), "open")
+
+
+def _pairs_left(open_: DataFrame) -> int:
+    """How many pairs of different components the open shards hold."""
+    parts = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return parts.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+
+
+def _likely(cells: DataFrame) -> DataFrame:
+    """a, b: each set with the smallest set of a shard, of those the one it meets most often."""
+    leads = cells.groupBy("token").agg(F.min("cls").alias("b"))
+    met = cells.join(leads, "token").filter("cls != b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("m"))
+    return met.groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,41 +371,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     sets = stored(set_table(docs, shingle, id_col, text_col), "sets")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(2, -(-total // TOKENS_A_BUCKET))
+    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.max("n_shingles").alias("n"))
+    classes = stored(classes, "classes")
     shared = stored(shared_shingles(docs, shingle, buckets, text_col), "shared")
-    prefix = stored(shards(shared), "shards")
-    meeting = prefix.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("rows")).filter("rows > 1")
+    cells = stored(shards(shared, classes), "shards")
 
-    known = stored(prefix.select("cls").distinct(), "known")
+    known = stored(cells.select("cls").distinct(), "known")
     points = sets.join(small_side(known), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
     points = stored(points, "points")
     texts = stored(_texts(docs, points, shingle, id_col, text_col), "texts")
 
-    # first the likeliest link of each set: with the first set of the shard that it meets most often
-    met = prefix.join(meeting, "token").filter("cls != lead").groupBy("cls", "lead").agg(F.count("*").alias("m"))
-    best = met.groupBy("cls").agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("lead"))
-    tree = _links(best.select(F.col("cls").alias("a"), F.col("lead").alias("b")), points, texts, shingle)
+    # first a likely link of each set, then, round by round, its nearest set of another component, as long as that
+    # closes shards, and last all pairs of different components in the shards that are still open
+    tree = _links(_likely(cells), points, texts, shingle)
     roots = forest_roots(tree.select(F.col("a").alias("node"), F.col("b").alias("parent")))
-
-    # then all shards that still hold several components
-    placed = prefix.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo != hi")
-    blocks = F.expr(f"int((rows + {ROWS_A_CELL - 1}) div {ROWS_A_CELL})")
-    cells = placed.join(open_.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
-    cells = cells.join(points.select("cls", _coarse_udf()("point").alias("coarse")), "cls").select("token", "i", "j", "block", "cls", "comp", "n", "coarse")
-    pairs = stored(_cells(cells).distinct(), "pairs")
-    more = _links(pairs, points, texts, shingle)
-    at = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(at("a").alias("a"), at("b").alias("b"))
-    merged = components(joined)
-
-    ends = roots.select(F.col("node").alias("cls"), "root").join(merged.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("cls", F.coalesce("_up", "root").alias("comp"))
-    tops = merged.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    comp = ends.unionByName(tops)
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"))
-    classes = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    before, nearest = float("inf"), True
+    while True:
+        open_ = _open(cells, roots)
+        left = _pairs_left(open_)
+        nearest = OPEN_PAIRS < left <= 0.8 * before
+        roots = _merged(roots, stored(_links(_cells(open_, points, nearest), points, texts, shingle), "links"))
+        if not nearest:
+            break
+        before, cells = left, open_.select("token", "cls")
+
+    classes = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "lowest", F.coalesce("root", "cls").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("lowest").alias("component_id"))
     final = stored(classes.select("cls", "comp").join(lowest, "comp").select("cls", "component_id", "comp"), "classes")
     return sets.select("doc_id", "n_shingles", "cls").join(final, "cls", "left").select(

@@ -7,8 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1 << 22  # bytes that are hashed at once
-CHUNK = 1 << 22  # bytes of texts that are handled together
+BLOCK = 1 << 21  # bytes that are hashed at once
+CHUNK = 1 << 20  # bytes of texts that are handled together
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
