@@ -78,6 +78,7 @@ def kmeans(entries: DataFrame, names: list[str], first: list[list[float]], round
     Stops when nothing moves (relative 1e-5, absolute 1e-8) and returns the centres before that step. Only the k centres
     pass the driver.
     """
+    entries = entries.select(*names).persist()
     means, stds = scaling(entries, names)
     centres = [list(map(float, c)) for c in first]
     for _ in range(rounds):
@@ -88,8 +89,9 @@ def kmeans(entries: DataFrame, names: list[str], first: list[list[float]], round
             if r["_c"] is not None:
                 moved[int(r["_c"])] = [r[c] for c in names]
         if np.allclose(moved, centres):
-            return centres
+            break
         centres = moved
+    entries.unpersist()
     return centres
 
 

@@ -190,7 +190,7 @@ def rank_methods(spark, sf_dir):
     return b.select("pair", "open_time", *[ic.ranked("v", ["open_time"], m, ("pair",)).alias(m) for m in ic.RANKS])
 
 
-@query("forward_lookup", f"{SCORED} SELECT s.pair, s.open_time, h.horizon, round(b.close / nullif(s.close, 0) - 1, 6) AS forward_return FROM scored s CROSS JOIN (SELECT unnest([1, 4])::INTEGER AS horizon) h JOIN bars b ON b.pair = s.pair AND b.open_time = s.open_time + h.horizon * {B.WEEK_MS}")
+@query("forward_lookup", f"{SCORED} SELECT s.pair, s.open_time, h.horizon, round(b.close / nullif(s.close, 0) - 1, 6) AS forward_return FROM scored s CROSS JOIN (SELECT unnest([1, 4])::INTEGER AS horizon) h JOIN bars b ON b.pair = s.pair AND b.open_time = s.open_time + h.horizon::BIGINT * {B.WEEK_MS}")
 def forward_lookup(spark, sf_dir):
     s = scored(spark, sf_dir).select("pair", "open_time", "close")
     return ic.forward_lookup(s, B.weekly_bars(spark, sf_dir), [1, 4], B.WEEK_MS).select("pair", "open_time", "horizon", r6("forward_return"))
@@ -414,7 +414,7 @@ def isos_selected_pivot(spark, sf_dir):
     return wide.filter("policy = 'pure'").unionByName(best).select("policy", r6("is_net"), r6("os_net"))
 
 
-@query("paired_deltas", f"{POLICY} SELECT open_time, round(b.net - a.net, 6) AS delta_net FROM pr a JOIN pr b USING (open_time) WHERE a.policy = 'pure' AND b.policy = 'scaled'")
+@query("paired_deltas", f"{POLICY} SELECT open_time, {s6('b.net - a.net', alias='delta_net')} FROM pr a JOIN pr b USING (open_time) WHERE a.policy = 'pure' AND b.policy = 'scaled'")
 def paired_deltas(spark, sf_dir):
     return reports.paired_deltas(_policies(spark, sf_dir), "open_time", "policy", "pure", "scaled", ["net"]).select("open_time", r6("delta_net"))
 
@@ -457,7 +457,7 @@ def asof_prior(spark, sf_dir):
     return reports.prior_event(left, right, ["user_id"], "ts", "ts", ["e2", "v2"]).select("event_id", "prior_e2", F.round("prior_v2", 6).alias("prior_v2"))
 
 
-@query("post_exit_returns", f"{ENTRIES} SELECT e.pair, e.open_time, h.horizon, round(b.close / nullif(c.close, 0) - 1, 6) AS post_return FROM entries e JOIN bars c ON c.pair = e.pair AND c.open_time = e.open_time CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS horizon) h LEFT JOIN bars b ON b.pair = e.pair AND b.open_time = e.open_time + h.horizon * {B.WEEK_MS}")
+@query("post_exit_returns", f"{ENTRIES} SELECT e.pair, e.open_time, h.horizon, round(b.close / nullif(c.close, 0) - 1, 6) AS post_return FROM entries e JOIN bars c ON c.pair = e.pair AND c.open_time = e.open_time CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS horizon) h LEFT JOIN bars b ON b.pair = e.pair AND b.open_time = e.open_time + h.horizon::BIGINT * {B.WEEK_MS}")
 def post_exit_returns(spark, sf_dir):
     bars = B.weekly_bars(spark, sf_dir).select("pair", "open_time", "close")
     exits = _entries(spark, sf_dir).select("pair", "open_time").join(bars, ["pair", "open_time"])
