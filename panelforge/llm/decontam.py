@@ -4,7 +4,7 @@ Each window of ten consecutive words of a benchmark item is a set of three-word
 that holds the window holds all of its shingles, so one of them is enough to find it: the necessary prefix for exact
 containment is the single rarest shingle, rarity being its count over all documents. Document shingles join the
 prefixes; the place in the window bounds where it must start, the document's length bounds where it must end, and the
-ten words are then compared one by one. Both word lists are in the row already, so nothing is fetched again.
+ten words are then compared one by one. Texts are cut into words once, and those of documents with a prefix again.
 
 Everything is DataFrame functions.
 """
@@ -69,14 +69,17 @@ def _found(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_id
     for size in sorted(stats):
         mine = shingles.filter(F.col("size") == size)
         known = mine.select("token").distinct()
-        counts = _tokens(source, size).select("token").join(side(known), "token").groupBy("token").agg(F.count("*").alias("n"))
+        spots = stored(_tokens(source, size).select("doc_id", "_key", "at", "token").join(side(known), "token"), "spots")
+        counts = spots.groupBy("token").agg(F.count("*").alias("n"))
         rarest = F.row_number().over(W.partitionBy("item_id", "window").orderBy("n", "token", "offset"))
-        prefix = mine.join(counts, "token").withColumn("_r", rarest).filter("_r = 1").select("item_id", "window", "length", "offset", "token")
-        each = _tokens(source.withColumn("_n", F.size("found")), size)
-        if not small:  # the words around the shingle go along instead of the whole text
-            each = each.withColumn("_base", F.greatest(F.col("at") - window, F.lit(0))).withColumn("found", F.slice("found", F.col("_base") + 1, F.lit(2 * window)))
-        else:
-            each = each.withColumn("_base", F.lit(0))
+        prefix = stored(mine.join(counts, "token").withColumn("_r", rarest).filter("_r = 1").select("item_id", "window", "length", "offset", "token"), "prefix")
+        met = spots.join(side(prefix.select("token").distinct()), "token").groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_t")).agg(F.collect_list(F.struct("at", "token")).alias("spots"))
+        met = small_side(stored(met, "candidates"), row_bytes=256)
+        # the words of these documents only, and of them those around each spot
+        each = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_t")))
+        each = each.select("doc_id", "_key", words(F.col("_text")).alias("found"), "spots").withColumn("_n", F.size("found")).withColumn("_s", F.explode("spots"))
+        base = F.greatest(F.col("_s.at") - window, F.lit(0))
+        each = each.select("doc_id", "_key", "_n", "_s.at", "_s.token", base.alias("_base"), F.slice("found", base + 1, F.lit(2 * window)).alias("found"))
         start = F.col("at") - F.col("offset")
         same = F.slice("found", F.greatest(start - F.col("_base"), F.lit(0)) + 1, F.col("length")) == F.col("window")
         met = each.join(side(prefix), "token").filter((start >= 0) & (start + F.col("length") <= F.col("_n"))).filter(same)
@@ -107,7 +110,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     is not counted among the items. Empty tables give no rows, or no hits.
 
     The benchmark is broadcast only if it has at most broadcast_rows shingles (counted first; a row has at most `window`
-    words); a larger one is joined by shuffles, where document shingles carry the words around them.
+    words); a larger one is joined by shuffles.
     """
     docs = _keyed(docs, id_col, text_col)
     found = _found(docs, items, window, shingle, item_id_col, item_text_col, broadcast_rows)
