@@ -28,4 +28,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small_side(df: DataFrame, most_bytes: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
     """df, marked for broadcast only if it is counted and small: rows times row_bytes under the bound. df should be stored."""
-    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+    return hinted(df, df.count(), most_bytes, row_bytes)
+
+
+def hinted(df: DataFrame, rows: int, most_bytes: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
+    """df, marked for broadcast only if the given bound of its rows is small."""
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df

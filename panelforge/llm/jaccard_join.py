@@ -331,18 +331,19 @@ def _cell_pairs(cell: pd.DataFrame, nearest: bool) -> Iterator[pd.DataFrame]:
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """node, root after the links a, b: components of the old roots, carried over to the nodes."""
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    held = small_side(roots)
+    of = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     at = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
     over = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(at("a"), at("b")))
-    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
-    return stored(moved.unionByName(over.join(roots, "node", "left_anti")), "merged")
+    moved = roots.join(small_side(over.select(F.col("node").alias("root"), F.col("root").alias("_up"))), "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
+    return stored(moved.unionByName(over.join(held, "node", "left_anti")), "merged")
 
 
 def _open(cells: DataFrame, roots: DataFrame) -> DataFrame:
     """token, cls, comp, rows (of the shard): the shards that hold several components."""
-    placed = cells.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
+    placed = stored(cells.join(small_side(roots), F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("root", "cls").alias("comp")), "placed")
     several = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("rows")).filter("_lo != _hi")
-    return stored(placed.join(several.select("token", "rows"), "token"), "open")
+    return stored(placed.join(small_side(stored(several.select("token", "rows"), "several")), "token"), "open")
 
 
 def _pairs_left(open_: DataFrame) -> int:
