@@ -285,6 +285,30 @@ def test_language_id(spark):
     assert langid.train(d.limit(0)) is None
 
 
+def test_language_id_keeps_all_grams(spark):
+    rare = "zyx wvu tsr qpo nml"
+    texts = ["der die das und ist nicht ein eine", "the and that with from have this", "\u9fa0\u9fa1\u8c22\u8c22\u4f60 \u5929\u6c14", rare]
+    d = docs_of(spark, texts * 3 + [None, "12"], lang=["de", "en", "zh", "rr"] * 3 + ["de", "en"])
+    whole, tables = langid.train(d), langid.train(d, most_held=0)
+    assert isinstance(whole, langid.Model) and isinstance(tables, langid.Tables)
+    for n in range(1, langid.ORDER + 1):  # every gram of every language is there, with the same figures
+        seen = {(r.lang, np.uint64(r.gram % 2**64)): r.seen for r in tables.seen[n].collect()}
+        want = {(x, k): v for j, x in enumerate(whole.langs) for k, v in zip(whole.grams[n], whole.seen[n][:, j])}
+        assert all(want[k] == v for k, v in seen.items()) and all(seen.get(k, 0) == v for k, v in want.items())
+    assert whole.reject_over.tolist() == tables.reject_over.tolist()
+    odd = docs_of(spark, [*texts, None, "", "dier thax unx", rare, "\u9fa0\u8c22 ab"], score=["z"] * 9)
+    a, b = (langid.predict(odd, m).orderBy("doc_id").collect() for m in (whole, tables))
+    assert a == b and a[3].lang_pred == "rr" and not a[3].rejected
+
+
+def test_quantiles_are_exact(spark):
+    values = [(x, v) for x in ("a", "b") for v in [R.gauss(3, 1) for _ in range(3_000)] + [1.5] * 40] + [("c", 2.0), ("n", None)]
+    df = spark.createDataFrame(values, "lang string, v double")
+    for q in (0.0, 0.37, 0.999, 1.0):
+        want = {x: float(np.quantile([v for y, v in values if y == x], q)) for x in "abc"}
+        assert langid.quantiles(df, q, "lang", "v", cells=8) == pytest.approx(want, rel=1e-12)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div class="ad">Buy this now, it is good.</div><article><h1>Head &amp; line</h1><p>First  paragraph has words, and more words.</p><script>var x = "<p>no</p>";</script>
 <p>Second <b>bold</b> paragraph is here, with text.<br>After break.</p></article><div class="comments"><p>Nice post, I like it, thanks.</p></div><footer>&copy; site, all rights.</footer></body></html>"""
