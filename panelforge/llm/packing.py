@@ -44,12 +44,23 @@ def default_tokenizer() -> tuple[str, str, str]:
 
 
 def encode(text: str | None, tokenizer: tuple[str, str, str]) -> np.ndarray:
-    """The ids of a text. Both encoders give the same ids; the slower one is for texts that hold a special token."""
+    """The ids of a text, those of the JSON vocabulary's own encoder.
+
+    The faster encoder gives the same ids. It knows no special token, and its pattern matching panics on white-space runs
+    of about a million characters; the panic is no Exception. The JSON vocabulary's encoder takes such texts.
+    """
     whole, fast = _encoders(*tokenizer)
     if not text:
         return np.empty(0, np.uint32)
-    ids = whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
-    return np.array(ids, np.uint32)
+    ids = None
+    if SPECIAL not in text:
+        try:
+            ids = fast.encode_ordinary(text)
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:
+            pass
+    return np.array(whole.encode(text, add_special_tokens=False).ids if ids is None else ids, np.uint32)
 
 
 def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: tuple[str, str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -259,6 +259,20 @@ def test_packing(spark):
     assert packing.packed(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_long_white_space_is_encoded(spark):
+    from tokenizers import Tokenizer
+
+    tok = packing.default_tokenizer()
+    whole = Tokenizer.from_file(tok[0])
+    texts = ["a" + " " * 1_000_001 + "b", "\n" * 1_000_002, "plain"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [packing.encode(t, tok).tolist() for t in texts] == want
+    n = {r.doc_id: r.n for r in packing.packed(docs_of(spark, texts)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert n == {i: len(x) + 1 for i, x in enumerate(want)}
+    short = token_counts.section_tokens(docs_of(spark, texts[:1])).collect()
+    assert [r.n_tokens for r in short] == [len(want[0])]
+
+
 def test_packing_fill_is_best():
     for _ in range(100):
         counts = {R.randint(1, 12): R.randint(1, 3) for _ in range(4)}
