@@ -140,7 +140,9 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     own = own.withColumn("_edited", edited)
     fresh = _let(F.encode("_edited", "UTF-32"), lambda raw: _keys(raw, F.col("_g"), _grams(F.col("_n2"), k), k))
     tail = F.concat(F.slice("_keys", F.col("_m") + 1, F.col("_g") - F.col("_m")), fresh)
-    own = own.withColumn("_min2", F.concat(F.slice("_min", F.lit(1), F.col("_m")), _window_minima(tail, w)))
+    # fewer than w grams are a window of their own only where no whole window lies in the kept part
+    rest = _let(tail, lambda x: F.when((F.col("_m") == 0) | (F.size(x) >= w), _window_minima(x, w)).otherwise(F.array().cast("array<bigint>")))
+    own = own.withColumn("_min2", F.concat(F.slice("_min", F.lit(1), F.col("_m")), rest))
     own = own.withColumn("_hashes2", hashes(F.col("_min2")))
     nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(winnowed(F.col("_after"), k, w)[1])))
     own = own.withColumn("_hashes3", nxt)

@@ -75,6 +75,17 @@ def test_edit_study(spark, mixed_texts):
     assert winnow.edit_study(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_edited_fingerprint_is_that_of_the_edited_text(spark):
+    texts = [x for n in range(30, 90) for x in (prose(n, 10_000)[: 3 * n], ["", None, "a", "bc d"][n % 4])]
+    edited = []
+    for i, text in enumerate(texts):  # the next document going down, after the last the first
+        text, after = text or "", texts[i - 1] or ""
+        edited.append(text[: len(text) - len(text) // 2] + after[: len(text) // 2])
+    want = {r.doc_id: ",".join(map(str, r.hashes)) for r in winnow.fingerprints(docs_of(spark, edited)).collect()}
+    got = {r.doc_id: r.edited_fingerprint for r in winnow.edit_study(docs_of(spark, texts), rows_per_bucket=16).collect()}
+    assert got == want
+
+
 def _hit(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, ids = set(), set()
