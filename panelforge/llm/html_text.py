@@ -2,9 +2,9 @@
 
 A page is cut into blocks of text, each with the path of block elements that lead to it. Text length, punctuation and
 link text are summed per path, smoothed over neighbouring blocks, and fused to one figure per path; paths over a
-threshold hold the content. Paths that the markup itself names as page furniture (navigation, adverts, forms, reader
-comments) count as zero, and once an article element has content, it gives its short blocks (headings, one-word
-paragraphs) too.
+threshold hold the content. Elements that the markup itself names as page furniture (navigation, adverts, forms, reader
+comments) count as zero. The lowest element that holds all blocks of the content paths, whatever its name, gives its
+short blocks (headings, list items, table cells, one-word paragraphs) too, all but furniture.
 """
 
 from __future__ import annotations
@@ -32,37 +32,42 @@ FURNITURE_NAMES = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-CONTAINERS = frozenset(("article", "main"))
+HOLDERS = frozenset("article body center details div html main section".split())  # the others belong to the text itself
+NEVER_NAMED = frozenset("html body main article".split())  # their classes speak of the page, not of furniture
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(f"(?P<{n}>{n})" for n in RAW) + r")\b[^>]*(?:/>|>.*?(?:</(?:" + "|".join(f"(?({n}){n}|(?!))" for n in RAW) + r")\s*>|\Z))"
     r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAMING = frozenset(("class", "id", "role"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，؟]")
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(path, furniture, text, characters in links) of each block that has text, in page order."""
-    found, stack, text, link, in_link = [], [], [], 0, 0
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int, tuple[int, ...]]]:
+    """(path, furniture, text, characters in links, holders) of each block that has text, in page order.
+
+    Holders are the numbers of the elements around a block down to the last one that is not part of the text itself.
+    """
+    found, stack, text, link, in_link, number = [], [], [], 0, 0, 0
 
     def end() -> None:
         nonlocal link
         said = " ".join(html.unescape("".join(text)).split())
         if said:
-            found.append((tuple(x for x, _ in stack), any(y for _, y in stack), said, min(link, len(said))))
+            deepest = max((k for k, x in enumerate(stack) if x[0] in HOLDERS), default=-1)
+            found.append((tuple(x[0] for x in stack), any(x[1] for x in stack), said, min(link, len(said)), tuple(x[2] for x in stack[: deepest + 1])))
         text.clear()
         link = 0
 
     def leave(name: str, limits: tuple[str, ...] = ()) -> None:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0].split(".")[0] == name:
+            if stack[k][0] == name:
                 del stack[k:]
                 return
-            if stack[k][0].split(".")[0] in limits:
+            if stack[k][0] in limits:
                 return
 
     at = 0
@@ -84,8 +89,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     leave(tag, CLOSES[tag])
                 elif tag in BLOCKS:
                     leave("p", ("article", "div", "section", "td", "li", "body"))
-                words = {w for x in NAMES.findall(m["rest"]) for w in SPLIT.split("".join(x).lower())}
-                stack.append((tag, tag in FURNITURE or bool(words & FURNITURE_NAMES)))
+                words = {w for name, *x in ATTRIBUTE.findall(m["rest"]) if name.lower() in NAMING for w in "".join(x).lower().split()}
+                number += 1
+                stack.append((tag, tag in FURNITURE or (tag not in NEVER_NAMED and bool(words & FURNITURE_NAMES)), number))
     text.append(page[at:])
     end()
     return found
@@ -97,7 +103,7 @@ def content(page: str | None, threshold: float = 0.2) -> str:
         return ""
     parts = blocks(page)
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for k, (path, furniture, said, link) in enumerate(parts):
+    for k, (path, furniture, said, link, _) in enumerate(parts):
         near = [len(x[2]) - x[3] for x in parts[max(0, k - 1) : k + 2] if not x[1]]
         s = sums[path]
         s[0] += 0 if furniture else (sum(near) / max(len(near), 1) + len(said) - link) / 2 * (1 - link / len(said))
@@ -106,9 +112,12 @@ def content(page: str | None, threshold: float = 0.2) -> str:
     ratio = {path: length / n * (1 + min(1.0, 20 * marks / n / max(length / n, 1))) for path, (length, marks, n) in sums.items()}
     most = max(ratio.values(), default=0)
     kept = {path for path, x in ratio.items() if x > 0 and x >= threshold * most}
-    holders = {path[: k + 1] for path in kept for k, tag in enumerate(path) if tag in CONTAINERS}
-    take = lambda path: any(path[: len(h)] == h for h in holders) if holders else path in kept
-    return "\n".join(said for path, furniture, said, _ in parts if not furniture and take(path))
+    holders = [x[4] for x in parts if not x[1] and x[0] in kept]
+    if not holders:
+        return ""
+    low, high = min(holders), max(holders)  # what these two share, all share
+    shared = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    return "\n".join(said for _, furniture, said, _, held in parts if not furniture and held[:shared] == low[:shared])
 
 
 def extracted(pages: DataFrame, html_col: str = "html", threshold: float = 0.2) -> DataFrame:

@@ -347,6 +347,21 @@ def test_html_text(spark):
     assert [r.text for r in out if r.page_id in (2, 3)] == ["", ""]
 
 
+def test_html_text_holds_short_blocks():
+    long = "Words of a sentence, and more words. " * 50
+    items = "".join(f"<li>item {k:05d}</li>" for k in range(10))
+    text = f"<h2>Head</h2><p>{long}</p><ul>{items}</ul><table><tr><td>1</td><td>2</td></tr></table><p>{long}</p>"
+    want = "\n".join(["Head", long.strip(), *[f"item {k:05d}" for k in range(10)], "1", "2", long.strip()])
+    side = '<div><div><ul><li><a href="/x">Other page</a></li></ul><p>Short.</p></div></div>'
+    for opened, closed in (("<div>", "</div>"), ("<article>", "</article>"), ('<section class="social-science no-comments">', "</section>")):
+        page = f'<html><body class="has-sidebar nav">{side}{opened}{text}<div class="x comments"><p>{long}</p></div>{closed}{side}</body></html>'
+        assert html_text.content(page) == want
+    assert html_text.content(f'<main class="widget"><article class="share" data-class="ad"><p title="class=ad">{long}</p></article></main>') == long.strip()
+    # the ratio decides, not the name: an article of a teaser does not hide the text beside it
+    beside = html_text.content(f"<body><article><p>{long}</p></article><div><div><p>{long}</p></div></div></body>")
+    assert beside == f"{long.strip()}\n{long.strip()}"
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_columns(spark, name):
     df = registry.QUERIES[name](spark, SF)
