@@ -1,8 +1,11 @@
 """Secret scans whose false positives a random forest removes.
 
-Any run of key-like characters with a digit, of eight or more, is a candidate. A forest over its length, its character
-transitions, how much of it dictionary words cover, the path it was found under and the words beside it tells secrets
-from placeholders, checksums, numbers, versions and names. The forest is trained by Spark's own learner on labelled
+Candidates are runs of eight or more key-like characters that have a digit, a known prefix, upper case after their first
+character beside lower case, or sixteen capitals in a row; and whatever is assigned to a secret word (after = or :), of
+six or more characters of any kind, up to the closing quote or else to the next space. Plain words that nothing is
+assigned to are none. A forest over a candidate's length, its character transitions, how much of it dictionary words
+cover, the path it was found under and the words beside it tells secrets from placeholders, checksums, numbers, versions
+and names. The forest is trained by Spark's own learner on labelled
 findings; inside tasks its trees are plain arrays.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{8,}+")
-HAS_DIGIT = re.compile(r"[0-9]")
+KEY_LIKE = re.compile(r"[0-9]|(?=.*[a-z]).+[A-Z]|[A-Z]{16}", re.S)
 WORD = re.compile(r"[A-Za-z]{2,}")
 NEAR = 32  # characters of context on either side
 
@@ -37,7 +40,16 @@ DICTIONARY = frozenset(
 FEATURES = ["length", "digits", "uppers", "separators", "transitions", "bigram", "entropy", "coverage", "hexlike", "sample_path", "secret_beside", "harmless_beside", "assigned", "quoted", "known_prefix"]
 PREFIX = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-")
 
-_CLASS = np.zeros(128, np.int8)
+KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-")
+_NAMES = sorted(SECRET_WORDS, key=lambda w: (-len(w), w))
+ASSIGNED = re.compile(
+    "(?:(?<![A-Za-z])(?i:" + "|".join(_NAMES) + ")|(?<=[a-z])(?:" + "|".join(w.title() for w in _NAMES) + "))"
+    r"[\"']?[ \t]{0,3}(?:=>|:=|==?|:)[ \t]{0,3}"
+    r"(?:\"((?:[^\"\\\n]|\\.){6,})\"|'((?:[^'\\\n]|\\.){6,})'|([^\s\"'`,;<>(){}\[\]]{6,}))"
+)
+NEXT_FIELD = re.compile(r"&[A-Za-z_]+=")
+
+_CLASS = np.full(128, 3, np.int8)  # other signs count as separators
 for _k, _set in enumerate((string.digits, string.ascii_uppercase, string.ascii_lowercase, "+/_=-")):
     _CLASS[[ord(c) for c in _set]] = _k
 
@@ -97,16 +109,25 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, candidate). A name and its value in one run, as in password=..., are cut to the value."""
-    found = []
+    """(start, end, candidate) in order. A name and its value in one run, as in password=..., are cut to the value.
+
+    An assigned value and the runs inside it are candidates of their own.
+    """
+    found = {}
     for m in CANDIDATE.finditer(text):
         start, end, raw = m.start(), m.end(), m[0]
         name, sign, value = raw.partition("=")
         if sign and value.strip("=") and WORD.fullmatch(name.replace("_", "").replace("-", "")):
             start, raw = start + len(name) + 1, value
-        if len(raw) >= 8 and HAS_DIGIT.search(raw):
-            found.append((start, end, raw))
-    return found
+        if len(raw) >= 8 and (KEY_LIKE.search(raw) or KNOWN.search(raw)):
+            found[start, end] = raw
+    for m in ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3 and (field := NEXT_FIELD.search(text, start, end)):
+            end = field.start()
+        if end - start >= 6:
+            found[start, end] = text[start:end]
+    return [(a, b, raw) for (a, b), raw in sorted(found.items())]
 
 
 def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
@@ -126,7 +147,7 @@ def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
         path = pick(["src1", "app/settings.py", "deploy/env.sh", "notes.txt", "web/main.js", ""] if secret or r.random() < 0.7 else ["tests/test_login.py", "docs/example.md", "package.lock", "fixtures/sample.json"])
         before, after = prose() + " ", " " + prose()
         if secret:
-            form = int(r.integers(6))
+            form = int(r.integers(9))
             value = [
                 lambda: pick(["AKIA", "ASIA"]) + run(upper, 16),
                 lambda: run(hexes, pick([16, 18, 20, 24, 32, 40, 64])),
@@ -134,10 +155,13 @@ def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
                 lambda: pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "AIza"]) + run(alnum, int(r.integers(20, 38))),
                 lambda: run(alnum + "+/", int(r.integers(24, 64))) + pick(["", "=", "=="]),
                 lambda: "eyJ" + run(alnum + "_-", int(r.integers(30, 120))),
+                lambda: run(string.ascii_letters if r.random() < 0.5 else string.ascii_lowercase, int(r.integers(8, 32))),
+                lambda: run(alnum + "!?$%&*#@.+-_", int(r.integers(8, 24))),
+                lambda: pick([" ", "-", "_", "."]).join(run(string.ascii_lowercase, int(r.integers(3, 9))) for _ in range(int(r.integers(3, 6)))),
             ][form]()
-            if form in (1, 2, 4):
+            if form in (1, 2, 4, 6, 7, 8):
                 name, sign = pick(sorted(SECRET_WORDS)), pick(["=", " = ", ": ", ":"])
-                quote = pick(["", "\"", "'"])
+                quote = pick(["\"", "'"] if " " in value else ["", "\"", "'"])
                 before, after = f"{before}{name}{sign}{quote}", quote + after
         else:
             value = [
@@ -151,13 +175,16 @@ def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
                 lambda: pick(words) + "/" + pick(words) + "/" + pick(words) + run(string.digits, 2),
                 lambda: pick(words) + "-" + str(r.integers(1, 9)) + "-" + str(r.integers(1, 99)) + "-" + pick(words),
                 lambda: "".join(pick(plain[:3] + plain[5:]).replace("ó", "o") for _ in range(int(r.integers(3, 7)))) + run(string.digits, int(r.integers(1, 3))),
+                lambda: pick(words) + pick(words).title() + pick(["", pick(words).title()]),
+                lambda: pick(["required", "optional", "missing", "invalid", "expired", "unknown", "nothing"]) if r.random() < 0.5 else pick(words) + pick(["_", "-", ""]) + pick(words),
+                lambda: " ".join(pick(words + plain) for _ in range(int(r.integers(2, 7)))),
             ]
             form = int(r.integers(len(value)))
             value = value[form]()
             if form == 5 or r.random() < 0.3:
                 before = f"{before}{pick(sorted(HARMLESS_WORDS))}{pick(['=', ' = ', ': ', ' '])}"
-            elif form in (0, 1, 6) and r.random() < 0.6:
-                quote = pick(["", "\""])
+            elif form in (11, 12) or (form in (0, 1, 6, 10) and r.random() < 0.6):
+                quote = pick(["\""] if " " in value else ["", "\""])
                 before, after = f"{before}{pick(sorted(SECRET_WORDS))}{pick(['=', ' = ', ': '])}{quote}", quote + after
         out.append((value, before[-NEAR:], after[:NEAR], path, secret))
     return pd.DataFrame(out, columns=["candidate", "before", "after", "path", "label"])
@@ -219,13 +246,22 @@ def train(spark: SparkSession, labelled: pd.DataFrame | None = None, trees: int
 
 
 def scan(text: str | None, path: str | None, forest: Forest, threshold: float = 0.5) -> tuple[int, list[tuple[int, int, float]]]:
-    """(number of candidates, (start, end, probability) of those that are secrets) of one text."""
+    """(number of candidates, (start, end, probability) of those that are secrets) of one text; overlapping ones are one."""
     found = candidates(text) if text else []
     if not found:
         return 0, []
     rows = [features(raw, text[max(0, a - NEAR) : a], text[b : b + NEAR], path or "") for a, b, raw in found]
     said = forest.probability(np.array(rows))
-    return len(found), [(a, b, float(p)) for (a, b, _), p in zip(found, said) if p >= threshold]
+    secrets: list[tuple[int, int, float]] = []
+    for (a, b, _), p in zip(found, said):
+        if p < threshold:
+            continue
+        if secrets and a < secrets[-1][1]:
+            start, end, before = secrets.pop()
+            secrets.append((start, max(end, b), max(before, float(p))))
+        else:
+            secrets.append((a, b, float(p)))
+    return len(found), secrets
 
 
 def scanned(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str = "[SECRET]", text_col: str = "text", path_col: str = "source") -> DataFrame:
