@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontam, jaccard_join, langid, packing, secret_scan
-from panelforge.llm.common import shared_dir
+from panelforge.llm.common import delete, scratch, shared_dir
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,20 @@ ORACLE_SQL = None  # the language models, the forest and the packing plan are be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written to the shared folder and read again."""
+    """The rows of the last stage, each stage written to the shared folder and read again.
+
+    A stage's own tables and its input go when it is written; what stays is the last stage's folder. Without documents
+    there are no rows; null texts and null languages fall to the first stage's rules.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

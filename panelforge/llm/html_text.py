@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import bounded_batches, lean
+
 # Names of elements in HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -131,6 +133,7 @@ def extracted(pages: DataFrame, html_col: str = "html", threshold: float = 0.2)
         for batch in batches:
             yield batch.map(lambda page: content(page, threshold))
 
-    said = F.pandas_udf(read, "string")
+    bounded_batches(pages.sparkSession)
+    said = F.pandas_udf(lean(read, "html_text"), "string")
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     return pages.select(*rest, said(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -20,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelforge.llm.common import small_side, stored
+from panelforge.llm.common import bounded_batches, lean, small_side, stored
 from panelforge.llm.graph import components, forest_roots
 from panelforge.llm.shingles import mixed, shingle_sets
 
 NEED_I, NEED_S = 9, 4  # Jaccard of 0.8 or more: 9 * intersection >= 4 * (sum of the sizes)
 COARSE = 16
-TOKENS_A_BUCKET = 2_500_000
+TOKENS_A_BUCKET = 1_000_000
 OPEN_PAIRS = 100_000  # under this many pairs to search, no further round of likely links is worth its jobs
 ROWS_A_CELL = 4_096
+TOKENS_A_BUNDLE = 400_000  # tokens that a task sends on at once
+COUNTED, OFTEN = 2_000_000, 8  # tokens that a task counts together, and how often it must meet one there to report it
+ROWS_OUT = 100_000
 
 
 def enough(overlap, sizes):
@@ -104,19 +107,54 @@ class CountTree:
 
 
 def set_table(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, cls (a hash of the set, null if it is empty), point: one row per document."""
+    """doc_id, n_shingles, cls (a hash of the set, null if it is empty), point, often: one row per document.
+
+    Some rows carry in `often` (token, times) pairs of 64 bits each: what a task met OFTEN times or more, in different
+    sets, among about COUNTED tokens in a row.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met, seen, size = [], set(), 0
         for batch in batches:
-            n, cls, points = [], [], []
-            for _, x in shingle_sets(batch["text"], shingle):
+            n, cls, points, often = [], [], [], [None] * len(batch)
+            for k, x in shingle_sets(batch["text"], shingle):
                 n.append(len(x))
                 cls.append(set_class(x))
                 points.append(count_vector(x).tobytes() if len(x) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": pd.array(cls, "Int64"), "point": points})
+                if cls[-1] is not None and cls[-1] not in seen:
+                    seen.add(cls[-1])
+                    met.append(x)
+                    size += len(x)
+                if size >= COUNTED:
+                    often[k] = _often(met)
+                    met, seen, size = [], set(), 0
+            if len(batch):
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": pd.array(cls, "Int64"), "point": points, "often": often})
+        if met:  # the rest hangs on a row of its own, which near_duplicates() takes out again
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n_shingles": [-1], "cls": pd.array([None], "Int64"), "point": [None], "often": [_often(met)]})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInPandas(read, "doc_id long, n_shingles long, cls long, point binary")
+    return source.mapInPandas(lean(read, "shingles"), "doc_id long, n_shingles long, cls long, point binary, often binary")
+
+
+def _often(met: list[np.ndarray]) -> bytes:
+    """(token, times) of what OFTEN sets or more hold."""
+    keys, n = np.unique(np.concatenate(met), return_counts=True)
+    keep = n >= OFTEN
+    return np.column_stack((keys[keep], n[keep].astype(np.uint64))).tobytes()
+
+
+def hot_tokens(sets: DataFrame, at_least: int) -> dict[int, int]:
+    """token -> times of the tokens that tasks reported at_least times in all; at most the total over at_least."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw in batch["often"]:
+                pairs = np.frombuffer(raw, np.uint64).reshape(-1, 2).view(np.int64)
+                yield pd.DataFrame({"token": pairs[:, 0], "times": pairs[:, 1]})
+
+    told = sets.filter("often is not null").select("often").mapInPandas(spread, "token long, times long")
+    return {r["token"] % (1 << 64): r["times"] for r in told.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= at_least).collect()}
 
 
 def set_class(tokens: np.ndarray) -> int | None:
@@ -126,13 +164,23 @@ def set_class(tokens: np.ndarray) -> int | None:
     return int(mixed(np.array([mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str) -> DataFrame:
+def _ids(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The short form of tokens: the bucket above, 32 bits below."""
+    return ((x >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF))
+
+
+def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str, hot: dict[int, int] | None = None) -> DataFrame:
     """cls, lost, token, df: the shingles that at least two different sets hold, with how many do.
 
     A token is 32 bits of its hash and a bucket, so tasks exchange four bytes a token: each batch sends one row per
     bucket, with its tokens and the sets they belong to. `lost` is how many shingles of the set fell together in this
-    form.
+    form. The tokens in `hot` (token -> df) would fill their bucket: they are spread over all buckets, with the df given.
     """
+    known: dict[int, int] = {}
+    for token, times in (hot or {}).items():
+        k = int(_ids(np.array([token], np.uint64), buckets)[0])
+        known[k] = known.get(k, 0) + times
+    hot_ids, hot_df = np.array(sorted(known), np.uint64), np.array([known[k] for k in sorted(known)], np.int64)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,11 +191,16 @@ def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str)
                 if cls is None or cls in sent:
                     continue
                 sent.add(cls)
-                ids = np.unique(((x >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF)))
-                tokens.append(ids)
+                ids = np.unique(_ids(x, buckets))
                 head.append((cls, len(x) - len(ids)))
                 size += len(ids)
-                if size >= 1_000_000:
+                if len(hot_ids):
+                    here = np.isin(ids, hot_ids)
+                    if here.any():
+                        yield _hot_row(cls, len(x) - len(ids), ids[here], buckets)
+                        ids = ids[~here]
+                tokens.append(ids)
+                if size >= TOKENS_A_BUNDLE:
                     yield _bundles(tokens, head)
                     tokens, head, size = [], [], 0
             if tokens:
@@ -157,17 +210,35 @@ def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str)
         held, bucket = [], None
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.hot:
+                    ids = np.frombuffer(row.tokens, np.uint64)
+                    yield _hot_out(row, ids, hot_df[np.searchsorted(hot_ids, ids)])
+                    continue
                 if row.bucket != bucket and held:
-                    yield _repeated(bucket, held)
+                    yield from _repeated(bucket, held)
                     held = []
                 bucket = row.bucket
                 held.append(row)
         if held:
-            yield _repeated(bucket, held)
+            yield from _repeated(bucket, held)
 
-    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(send, "bucket long, tokens binary, cls binary, lost binary, runs binary")
+    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(lean(send, "shingles"), "bucket long, tokens binary, cls binary, lost binary, runs binary, hot boolean")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(meet, "cls long, lost long, token long, df long")
+    found = dealt.mapInPandas(lean(meet, "shingles"), "cls long, lost long, token long, df long, hot boolean")
+    if not len(hot_ids):
+        return found.drop("hot")
+    found = stored(found, "met")  # a set that several tasks sent has its hot tokens several times
+    return found.filter("not hot").drop("hot").unionByName(found.filter("hot").drop("hot").dropDuplicates(["cls", "token"]))
+
+
+def _hot_row(cls: int, lost: int, ids: np.ndarray, buckets: int) -> pd.DataFrame:
+    cells = {"cls": np.int64(cls).tobytes(), "lost": np.uint32(lost).tobytes(), "tokens": ids.tobytes(), "runs": np.uint32(len(ids)).tobytes()}
+    return pd.DataFrame([{"bucket": cls % buckets, **cells, "hot": True}])[["bucket", "tokens", "cls", "lost", "runs", "hot"]]
+
+
+def _hot_out(row, ids: np.ndarray, df: np.ndarray) -> pd.DataFrame:
+    cls, lost = np.frombuffer(row.cls, np.int64)[0], int(np.frombuffer(row.lost, np.uint32)[0])
+    return pd.DataFrame({"cls": cls, "lost": lost, "token": ids.view(np.int64), "df": df, "hot": True})
 
 
 def _bundles(tokens: list[np.ndarray], head: list[tuple[int, int, int]]) -> pd.DataFrame:
@@ -183,11 +254,11 @@ def _bundles(tokens: list[np.ndarray], head: list[tuple[int, int, int]]) -> pd.D
         mine = owner[a:b]
         runs = np.flatnonzero(np.diff(mine, prepend=-1, append=-1))
         who = mine[runs[:-1]]
-        rows.append((int(bucket[a]), line[a:b].tobytes(), cls[who].tobytes(), lost[who].tobytes(), np.diff(runs).astype(np.uint32).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "tokens", "cls", "lost", "runs"])
+        rows.append((int(bucket[a]), line[a:b].tobytes(), cls[who].tobytes(), lost[who].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), False))
+    return pd.DataFrame(rows, columns=["bucket", "tokens", "cls", "lost", "runs", "hot"])
 
 
-def _repeated(bucket: int, rows: list) -> pd.DataFrame:
+def _repeated(bucket: int, rows: list) -> Iterator[pd.DataFrame]:
     """The tokens of a bucket that two sets hold. A set that came from several batches counts once."""
     token = np.concatenate([np.frombuffer(r.tokens, np.uint32) for r in rows])
     cls, lost, runs = (np.concatenate([np.frombuffer(getattr(r, c), t) for r in rows]) for c, t in (("cls", np.int64), ("lost", np.uint32), ("runs", np.uint32)))
@@ -200,8 +271,10 @@ def _repeated(bucket: int, rows: list) -> pd.DataFrame:
     df = np.diff(np.append(starts, len(ranked)))
     df = np.repeat(df, df)
     keep = df >= 2
-    who = owner[order][keep]
-    return pd.DataFrame({"cls": cls[who], "lost": lost[who].astype(np.int64), "token": ranked[keep].astype(np.int64) | (bucket << 32), "df": df[keep]})
+    who, ranked, df = owner[order][keep], ranked[keep], df[keep]
+    for k in range(0, len(who), ROWS_OUT):
+        at, s = who[k : k + ROWS_OUT], slice(k, k + ROWS_OUT)
+        yield pd.DataFrame({"cls": cls[at], "lost": lost[at].astype(np.int64), "token": ranked[s].astype(np.int64) | (bucket << 32), "df": df[s], "hot": False})
 
 
 def shards(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -226,7 +299,7 @@ def _bound_udf():
         for a, b, sizes in batches:
             yield pd.Series([enough(overlap_bound(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)), s) for x, y, s in zip(a, b, sizes)], dtype=bool)
 
-    return F.pandas_udf(possible, "boolean")
+    return F.pandas_udf(lean(possible, "shingles"), "boolean")
 
 
 def _verify_udf(shingle: int):
@@ -237,7 +310,7 @@ def _verify_udf(shingle: int):
                 said.append(bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
             yield pd.Series(said, dtype=bool)
 
-    return F.pandas_udf(linked, "boolean")
+    return F.pandas_udf(lean(linked, "shingles"), "boolean")
 
 
 def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -275,15 +348,16 @@ def _cells(open_: DataFrame, points: DataFrame, nearest: bool) -> DataFrame:
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
     dealt = dealt.join(points.select("cls", "n", "point"), "cls").select("token", "i", "j", "block", "cls", "comp", "n", "point")
-    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(search, "a long, b long")
+    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(lean(search, "shingles"), "a long, b long")
     return stored(found.distinct(), "pairs")
 
 
 class _Bounds:
-    """Overlap bounds of many pairs of points at once, at the finest grouping each pair has."""
+    """Overlap bounds of many pairs of points at once, at the finest grouping each pair has or 32 MiB hold for all."""
 
     def __init__(self, points: list[np.ndarray]):
-        self.points, self.sizes = points, np.array([len(p) for p in points])
+        most = 1 << int(np.log2((1 << 23) / max(len(points), 1)))
+        self.points, self.sizes = points, np.minimum([len(p) for p in points], max(most, COARSE))
         self.at: dict[int, np.ndarray] = {}
 
     def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -293,7 +367,7 @@ class _Bounds:
                 wide = np.zeros((len(self.points), g), np.int32)
                 for k in np.flatnonzero(self.sizes >= g):
                     wide[k] = folded(self.points[k], int(g))
-                self.at[g] = wide
+                self.at = {g: wide}
             which, step = np.flatnonzero(least == g), max(1, (1 << 20) // int(g))
             for k in range(0, len(which), step):
                 s = which[k : k + step]
@@ -369,12 +443,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     Null, empty and blank texts have an empty set, cls null and themselves as component. Repeated rows each get a row;
     a null doc_id takes part, but is never the smallest. An empty table gives no rows. Other columns are ignored.
     """
-    sets = stored(set_table(docs, shingle, id_col, text_col), "sets")
+    bounded_batches(docs.sparkSession)
+    told = stored(set_table(docs, shingle, id_col, text_col), "sets")
+    sets = told.filter("n_shingles >= 0").drop("often")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(2, -(-total // TOKENS_A_BUCKET))
+    hot = hot_tokens(told, max(TOKENS_A_BUCKET // 2, total // 100_000, OFTEN))  # 100,000 at most
     classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.max("n_shingles").alias("n"))
     classes = stored(classes, "classes")
-    shared = stored(shared_shingles(docs, shingle, buckets, text_col), "shared")
+    shared = stored(shared_shingles(docs, shingle, buckets, text_col, hot), "shared")
     cells = stored(shards(shared, classes), "shards")
 
     known = stored(cells.select("cls").distinct(), "known")
@@ -415,7 +492,7 @@ def _texts(docs: DataFrame, points: DataFrame, shingle: int, id_col: str, text_c
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     wanted = small_side(points.select("doc_id", "cls"))
     found = source.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "text")
-    return found.mapInPandas(pick, "cls long, text string").dropDuplicates(["cls"])
+    return found.mapInPandas(lean(pick, "shingles"), "cls long, text string").dropDuplicates(["cls"])
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,7 +509,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
             yield pd.Series([set_class(x) for _, x in shingle_sets(batch, shingle)], dtype="Int64")
 
     keyed = docs.join(small_side(alone.select(F.col("doc_id").alias("_kept")).distinct()), F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
-    keyed = keyed.withColumn("_cls", F.pandas_udf(tag, "long")(F.col(text_col).cast("string")))
+    keyed = keyed.withColumn("_cls", F.pandas_udf(lean(tag, "shingles"), "long")(F.col(text_col).cast("string")))
     chosen = keyed.join(alone.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_c"), "component_class"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_cls").eqNullSafe(F.col("_c")))
     wordless = chosen.filter("_cls is null").select(*names)
     return wordless.unionByName(chosen.filter("_cls is not null").dropDuplicates(["component_class"]).select(*names))

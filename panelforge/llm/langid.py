@@ -18,15 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stored
+from panelforge.llm.common import bounded_batches, held_by, lean, stored
 
 ORDER = 4
 SPACE = 32
-CHUNK = 1_000_000  # characters that are handled at once in a task
+CHUNK = 1 << 17  # characters of texts that are handled together in a task
 SHIFT = np.uint64(16)
-HELD = 2_000_000  # n-grams that a task sums up before it gives them on
+HELD = 1 << 19  # n-grams that a task holds before it sums them up, and sums before it gives them on
 
 
+@held_by("langid")
 @lru_cache(maxsize=1)
 def _folding() -> np.ndarray:
     """For each code point: its lower case if it is a letter, else a space; letters over U+FFFE share one code."""
@@ -90,26 +91,41 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """lang, gram (four packed characters), n: over all rows with text and language, summed in each task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 for _, parts in _chunks(rows["text"], rows["text"]):
-                    keys, n = np.unique(_grams(parts)[0], return_counts=True)
-                    if lang in total:
-                        keys, at = np.unique(np.concatenate((total[lang][0], keys)), return_inverse=True)
-                        n = np.bincount(at, np.concatenate((total[lang][1], n))).astype(np.int64)
-                    total[lang] = keys, n
-            if sum(len(keys) for keys, _ in total.values()) > HELD:
-                yield from flushed(total)
-                total = {}
-        yield from flushed(total)
-
-    def flushed(total: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        for lang, (keys, n) in total.items():
-            yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
+                    held.setdefault(lang, []).append(np.unique(_grams(parts)[0], return_counts=True))
+                    size += len(held[lang][-1][0])
+                    if size > HELD:
+                        held = {x: [_summed(parts)] for x, parts in held.items()}
+                        size = sum(len(parts[0][0]) for parts in held.values())
+                        if size > HELD // 2:
+                            yield from flushed(held)
+                            held, size = {}, 0
+        yield from flushed(held)
+
+    def flushed(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pd.DataFrame]:
+        for lang, parts in held.items():
+            keys, n = _summed(parts)
+            for k in range(0, len(keys), CHUNK):
+                yield pd.DataFrame({"lang": lang, "gram": keys[k : k + CHUNK].view(np.int64), "n": n[k : k + CHUNK]})
 
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    return source.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    bounded_batches(docs.sparkSession)
+    return source.mapInPandas(lean(count, "langid"), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of several sorted lists of (key, count) and their summed counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
 
 
 @dataclass
@@ -304,6 +320,7 @@ def predict(docs: DataFrame, model: Model | Tables | None, text_col: str = "text
     without a model. Ties go to the language first in order. Whole texts are scored, a long one like any other.
     """
     spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ADDED]
+    bounded_batches(spark)
     if isinstance(model, Tables):
         return _predict_by_tables(docs, columns, model, text_col)
     held = spark.sparkContext.broadcast(model)
@@ -316,7 +333,7 @@ def predict(docs: DataFrame, model: Model | Tables | None, text_col: str = "text
                 out += _said(parts, m.langs if m else [], m.log_probability if m else None, m.reject_over if m else None)
             yield pd.DataFrame(out, columns=ADDED)
 
-    said = F.pandas_udf(score, ADDED_TYPES)
+    said = F.pandas_udf(lean(score, "langid"), ADDED_TYPES)
     return docs.select(*columns, said(F.col(text_col).cast("string")).alias("_said")).select(*columns, "_said.*")
 
 

@@ -19,21 +19,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stored
+from panelforge.llm.common import bounded_batches, held_by, lean, stored
 from panelforge.llm.hilbert import ranked
 
 SPECIAL = "<|endoftext|>"
 
 
-@lru_cache(maxsize=4)
-def _encoders(json_path: str, ranks_path: str, pattern: str):
+@held_by("tokens")
+@lru_cache(maxsize=1)
+def _fast_encoder(ranks_path: str, pattern: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(json_path), fast
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@held_by("tokens")
+@lru_cache(maxsize=1)
+def _whole_encoder(json_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
 
 
 def default_tokenizer() -> tuple[str, str, str]:
@@ -49,18 +56,17 @@ def encode(text: str | None, tokenizer: tuple[str, str, str]) -> np.ndarray:
     The faster encoder gives the same ids. It knows no special token, and its pattern matching panics on white-space runs
     of about a million characters; the panic is no Exception. The JSON vocabulary's encoder takes such texts.
     """
-    whole, fast = _encoders(*tokenizer)
     if not text:
         return np.empty(0, np.uint32)
     ids = None
     if SPECIAL not in text:
         try:
-            ids = fast.encode_ordinary(text)
+            ids = _fast_encoder(*tokenizer[1:]).encode_ordinary(text)
         except (KeyboardInterrupt, SystemExit, GeneratorExit):
             raise
         except BaseException:
             pass
-    return np.array(whole.encode(text, add_special_tokens=False).ids if ids is None else ids, np.uint32)
+    return np.array(_whole_encoder(tokenizer[0]).encode(text, add_special_tokens=False).ids if ids is None else ids, np.uint32)
 
 
 def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: tuple[str, str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +85,8 @@ def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: tupl
             yield out
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    bounded_batches(docs.sparkSession)
+    return source.mapInPandas(lean(cut, "tokens"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

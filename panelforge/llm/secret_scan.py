@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import bounded_batches, lean
+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{8,}+")
 KEY_LIKE = re.compile(r"[0-9]|(?=.*[a-z]).+[A-Z]|[A-Z]{16}", re.S)
 WORD = re.compile(r"[A-Za-z]{2,}")
@@ -288,7 +290,8 @@ def scanned(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str =
             yield pd.DataFrame(rows, columns=added)
 
     path: Column = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    said = F.pandas_udf(read, "n_candidates long, n_secrets long, secrets array<struct<start: long, end: long, probability: double>>, redacted string")
+    bounded_batches(docs.sparkSession)
+    said = F.pandas_udf(lean(read, "secret_scan"), "n_candidates long, n_secrets long, secrets array<struct<start: long, end: long, probability: double>>, redacted string")
     names = [c for c in docs.columns if c not in added]
     return docs.select(*names, said(F.col(text_col).cast("string"), path).alias("_said")).select(*names, "_said.*")
 

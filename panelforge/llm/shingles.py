@@ -7,8 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1 << 21  # bytes that are hashed at once
-CHUNK = 1 << 20  # bytes of texts that are handled together
+from panelforge.llm.common import held_by
+
+BLOCK = 1 << 18  # bytes that are hashed at once
+CHUNK = 1 << 17  # bytes of texts that are handled together
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -31,6 +33,7 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return values, blank
 
 
+@held_by("shingles")
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(BLOCK + 1, U(BASE)), np.full(BLOCK + 1, U(INVERSE))

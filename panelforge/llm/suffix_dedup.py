@@ -21,14 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import small_side, stored
+from panelforge.llm.common import bounded_batches, held_by, lean, measured_side, stored
 from panelforge.llm.shingles import BASE, INVERSE, U, mixed
 
-CHUNK = 1 << 21  # bytes that are handled at once in a task
-BUNDLE = 1 << 19  # bytes of segments that share a suffix array
-HOT_SEGMENTS = 4_096  # an anchor with more different segments is handled window by window
+CHUNK = 1 << 18  # bytes that are handled at once in a task
+BUNDLE = 1 << 18  # bytes of segments that share a suffix array, but for the anchor that fills it up
+HOT_BYTES = 1 << 17  # an anchor with more bytes of different segments is no single array: its windows are counted one by one
 
 
+@held_by("suffix_dedup")
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = np.full(2 * CHUNK, U(BASE)), np.full(2 * CHUNK, U(INVERSE))
@@ -132,7 +133,24 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 found["copies"] = [copies[keys[k]] for k in who]
                 yield found[["anchor", "content", "cls", "start", "windows", "times", "doc_id", "copies"]]
 
-    return docs.mapInPandas(read, "anchor long, content long, cls binary, start long, windows long, times long, doc_id long, copies long")
+    return docs.mapInPandas(lean(read, "suffix_dedup"), "anchor long, content long, cls binary, start long, windows long, times long, doc_id long, copies long")
+
+
+def _sorted_directly(line: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """`starts` in the order of the `depth` bytes from there: by eight bytes at once, groups of equals then by all."""
+    raw = line.tobytes()
+    padded = np.concatenate((line, np.zeros(8, np.uint8))).astype(np.uint64)
+    words = np.zeros(len(starts), np.uint64)
+    for k in range(8):
+        words = (words << U(8)) | padded[starts + k]
+    order = np.argsort(words, kind="stable")
+    ranked, starts = words[order], starts[order]
+    cut = np.flatnonzero(np.diff(ranked) != 0) + 1
+    first = np.concatenate(([0], cut))
+    last = np.append(cut, len(starts))
+    for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
+        starts[a:b] = sorted(starts[a:b].tolist(), key=lambda i: raw[i : i + depth])
+    return starts
 
 
 def suffix_order(line: np.ndarray, depth: int) -> np.ndarray:
@@ -149,8 +167,7 @@ def suffix_order(line: np.ndarray, depth: int) -> np.ndarray:
     following = np.minimum.accumulate(where[::-1])[::-1] if n > 1 else where
     rising = np.zeros(n, bool)
     rising[: n - 1] = np.append(step, -1)[np.minimum(following, n - 1)] > 0
-    raw = line.tobytes()
-    direct = np.array(sorted(np.flatnonzero(rising).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    direct = _sorted_directly(line, np.flatnonzero(rising), depth)
     heads = line[direct]
     waiting: dict[int, list[np.ndarray]] = {int(c): [] for c in np.unique(line)}
     waiting[int(line[-1])].append(np.array([n - 1]))
@@ -254,7 +271,7 @@ def _sorted_repeats(found: DataFrame, length: int) -> DataFrame:
         rows = [(a, c, _runs(x)) for (a, c), x in zip(held, repeated_windows(list(held.values()), length))]
         return pd.DataFrame([r for r in rows if r[2]], columns=["anchor", "content", "runs"])
 
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(search, "anchor long, content long, runs array<long>")
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lean(search, "suffix_dedup"), "anchor long, content long, runs array<long>")
 
 
 def _hashed_repeats(found: DataFrame, length: int) -> DataFrame:
@@ -268,31 +285,38 @@ def _hashed_repeats(found: DataFrame, length: int) -> DataFrame:
                     start = np.arange(len(line) - length + 1)
                     yield pd.DataFrame({"anchor": a, "content": c, "place": start + at, "window": _hashes(_sums(line), start, length).view(np.int64)})
 
-    windows = stored(found.mapInPandas(spread, "anchor long, content long, place long, window long").dropDuplicates(["anchor", "content", "place"]), "windows")
+    different = found.dropDuplicates(["anchor", "content"])
+    windows = stored(different.mapInPandas(lean(spread, "suffix_dedup"), "anchor long, content long, place long, window long"), "windows")
     several = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
     hit = windows.join(several, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return hit.select("anchor", "content", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).alias("runs"))
 
 
-def deduplicated(docs: DataFrame, length: int = 400, gram: int = 64, hot_segments: int = HOT_SEGMENTS, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if keep_text.
+def deduplicated(docs: DataFrame, length: int = 400, gram: int = 64, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, and kept (bytes) if keep_text.
 
     Texts are UTF-8 bytes, null is empty. Every byte is removed that lies in a string of `length` bytes which starts at
     another place too, in the same or another document; matches never cross documents. Repeated rows are documents of
     their own, so texts that occur twice go as a whole (if they are long enough). Texts under `length` bytes stay. A
-    null doc_id is carried along. An empty table gives no rows; other columns are ignored.
+    null doc_id is carried along. An empty table gives no rows; other columns are ignored. `repeated` is whether
+    anything was removed. A text of any length is read in parts that overlap, so none is cut off.
+
+    Anchors with up to hot_bytes of different segments get suffix arrays, so an array's memory is bounded. The windows of
+    others, such as passages that a third of all documents hold, are counted by their hashes in Spark aggregates, which
+    gives the same rows for any value of hot_bytes.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = stored(anchors(source, length, gram), "segments")
     own = found.groupBy("anchor", "content", "cls", "start").agg(F.min("doc_id").alias("doc_id"), F.max("windows").alias("windows"), F.max("times").alias("times"))
     kinds = own.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.sum("times").alias("times"), F.max("windows").alias("windows"), F.min(F.struct("cls", "doc_id", "start")).alias("one"))
     kinds = stored(kinds, "kinds")
-    heads = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).filter("all > 1")
+    heads = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("all"), F.sum(F.col("windows") + (length - 1)).alias("size")).filter("all > 1")
     shared = stored(kinds.join(heads, "anchor"), "shared")
 
     whole = shared.filter("m > 1").select("anchor", "content", F.array(F.lit(0).cast("long"), F.col("windows")).alias("runs"))
     wanted = shared.filter("kinds > 1 or m = 1").groupBy(F.col("one.doc_id").alias("_id"), F.col("one.cls").alias("cls"))
-    wanted = stored(wanted.agg(F.collect_list(F.struct(F.col("one.start").alias("start"), "windows", "anchor", "content", (F.col("kinds") > hot_segments).alias("hot"))).alias("wanted")), "wanted")
+    wanted = stored(wanted.agg(F.collect_list(F.struct(F.col("one.start").alias("start"), "windows", "anchor", "content", (F.col("size") > hot_bytes).alias("hot"))).alias("wanted")), "wanted")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -309,8 +333,8 @@ def deduplicated(docs: DataFrame, length: int = 400, gram: int = 64, hot_segment
                         rows, size = [], 0
             yield pd.DataFrame(rows, columns=["anchor", "content", "bytes", "hot"])
 
-    asked = source.join(small_side(wanted, row_bytes=1_024), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cls", "wanted")
-    parts = stored(asked.mapInPandas(fetch, "anchor long, content long, bytes binary, hot boolean"), "parts")
+    asked = source.join(measured_side(wanted, "40L * size(wanted)"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cls", "wanted")
+    parts = stored(asked.mapInPandas(lean(fetch, "suffix_dedup"), "anchor long, content long, bytes binary, hot boolean"), "parts")
     repeats = _sorted_repeats(parts.filter("not hot").drop("hot"), length)
     if parts.filter("hot").limit(1).count():
         repeats = repeats.unionByName(_hashed_repeats(parts.filter("hot").drop("hot"), length))
@@ -320,7 +344,7 @@ def deduplicated(docs: DataFrame, length: int = 400, gram: int = 64, hot_segment
     spans = found.select("anchor", "content", "cls", "start").join(repeats, ["anchor", "content"]).groupBy("cls").agg(F.collect_set(F.struct("start", "runs")).alias("spans"))
     copies = found.filter("start = 0").groupBy("cls").agg(F.sum("copies").alias("copies")).filter("copies > 1")
     marks = spans.join(copies, "cls", "full").select(F.col("cls").alias("_cls"), "spans", (F.col("copies") > 1).alias("copied"))
-    marks = small_side(stored(marks, "marks"), row_bytes=512)
+    marks = measured_side(stored(marks, "marks"), "coalesce(aggregate(spans, 0L, (n, s) -> n + 32L + 8L * size(s.runs)), 0L)")
     keyed = source.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     joined = keyed.join(marks, F.col("cls") == F.col("_cls"), "left").select("doc_id", "text", "spans", "copied")
 
@@ -329,18 +353,18 @@ def deduplicated(docs: DataFrame, length: int = 400, gram: int = 64, hot_segment
             rows = []
             for text, spans, copied in zip(batch["text"], batch["spans"], batch["copied"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                gone = [(0, len(raw))] if copied is True or copied == 1 else _merged(spans, length)
+                gone = ([(0, len(raw))] if copied is True or copied == 1 else _merged(spans, length)) if raw else []
                 keep, at = [], 0
                 for a, b in gone:
                     keep.append(raw[at:a])
                     at = b
                 kept = b"".join([*keep, raw[at:]])
-                rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), bool(gone), kept))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated", "kept"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out if keep_text else out.drop(columns="kept")
 
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInPandas(lean(cut, "suffix_dedup"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + ", kept binary" * keep_text)
 
 
 def _merged(spans, length: int) -> list[tuple[int, int]]:

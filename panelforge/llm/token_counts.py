@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import bounded_batches, held_by, lean
 from panelforge.llm.packing import SPECIAL, default_tokenizer, encode
 
 RULES = ("start", "most", "split")
 
 
-@lru_cache(maxsize=4)
+@held_by("tokens")
+@lru_cache(maxsize=1)
 def _sizes(ranks_path: str) -> np.ndarray:
     """Bytes of each token id; the special token follows the ranks."""
     with open(ranks_path, "rb") as f:
@@ -104,4 +106,5 @@ def section_tokens(docs: DataFrame, rule: str = "start", sections: Callable[[str
                 yield pd.DataFrame({"doc_id": pd.array(parts.pop("doc_id"), "Int64")} | {c: np.concatenate(x) for c, x in parts.items()})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInPandas(count, "doc_id long, section long, start long, end long, n_tokens double, doc_tokens long")
+    bounded_batches(docs.sparkSession)
+    return source.mapInPandas(lean(count, "tokens"), "doc_id long, section long, start long, end long, n_tokens double, doc_tokens long")

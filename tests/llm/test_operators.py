@@ -139,6 +139,10 @@ def test_jaccard_join(spark, mixed_texts, monkeypatch):
     want = _components(texts)
     found = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs_of(spark, texts)).collect()}
     assert found() == want
+    monkeypatch.setattr(jaccard_join, "TOKENS_A_BUCKET", 8)  # tokens of four sets are hot now
+    monkeypatch.setattr(jaccard_join, "OFTEN", 2)
+    assert jaccard_join.hot_tokens(jaccard_join.set_table(docs_of(spark, texts), 5, "doc_id", "text"), 4)
+    assert found() == want
     monkeypatch.setattr(jaccard_join, "OPEN_PAIRS", 0)
     monkeypatch.setattr(jaccard_join, "ROWS_A_CELL", 3)
     assert found() == want
@@ -255,7 +259,7 @@ def test_suffix_order():
         assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
 
 
-@pytest.mark.parametrize("hot", [4_096, 1])
+@pytest.mark.parametrize("hot", [1 << 17, 1])
 def test_suffix_dedup(spark, hot):
     texts = ["".join(R.choice(LETTERS) for _ in range(R.randint(0, 60))) for _ in range(30)]
     texts += [texts[3][:30] + "ZZ" + texts[5], texts[7], texts[7], None, "", "a" * 100, "ab" * 80, texts[9][10:] + texts[9], "b" * 50]
@@ -269,7 +273,7 @@ def test_suffix_dedup(spark, hot):
                 gone[i : i + 20] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want[k] = (len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.deduplicated(docs_of(spark, texts, cls=["z"] * len(texts)), 20, 5, hot).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.deduplicated(docs_of(spark, texts, cls=["z"] * len(texts)), 20, 5, hot).collect()}
     assert got == want
     assert suffix_dedup.deduplicated(docs_of(spark, texts).limit(0), 20, 5).count() == 0
 
