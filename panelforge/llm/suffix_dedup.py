@@ -26,7 +26,7 @@ from panelforge.llm.shingles import BASE, INVERSE, U, mixed
 
 CHUNK = 1 << 18  # bytes that are handled at once in a task
 BUNDLE = 1 << 18  # bytes of segments that share a suffix array, but for the anchor that fills it up
-HOT_BYTES = 1 << 17  # an anchor with more bytes of different segments is no single array: its windows are counted one by one
+HOT_BYTES = 1 << 22  # an anchor with more bytes of different segments is no single array: its windows are counted one by one
 
 
 @held_by("suffix_dedup")
@@ -139,10 +139,11 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _sorted_directly(line: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """`starts` in the order of the `depth` bytes from there: by eight bytes at once, groups of equals then by all."""
     raw = line.tobytes()
-    padded = np.concatenate((line, np.zeros(8, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((line, np.zeros(8, np.uint8)))
     words = np.zeros(len(starts), np.uint64)
     for k in range(8):
-        words = (words << U(8)) | padded[starts + k]
+        words <<= U(8)
+        words |= padded[starts + k]
     order = np.argsort(words, kind="stable")
     ranked, starts = words[order], starts[order]
     cut = np.flatnonzero(np.diff(ranked) != 0) + 1
@@ -163,7 +164,7 @@ def suffix_order(line: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     step = np.sign(line[1:].astype(np.int16) - line[:-1])
-    where = np.where(step != 0, np.arange(n - 1), n)
+    where = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(where[::-1])[::-1] if n > 1 else where
     rising = np.zeros(n, bool)
     rising[: n - 1] = np.append(step, -1)[np.minimum(following, n - 1)] > 0
@@ -226,10 +227,11 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(p) + 1 for p in parts])
     first = np.concatenate(([0], np.cumsum(sizes)))
     line = np.frombuffer(b"".join(p.translate(_SHIFT) + b"\0" for p in parts), np.uint8)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    left = first[owner + 1] - 1 - np.arange(len(line))
+    left = np.repeat((first[1:] - 1).astype(np.int32), sizes)
+    left -= np.arange(len(line), dtype=np.int32)
     order = suffix_order(line, length)
     order = order[left[order] >= length]
+    del left
     full = common_prefixes(line, order[:-1], order[1:], length) >= length
     hit = np.zeros(len(order), bool)
     hit[:-1] |= full
