@@ -43,7 +43,11 @@ def coefficients(frame: DataFrame, features: list[str], label: str, by: list[str
 
 
 def summary(ics: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, median, deviation and count of coefficients, and the share of positive ones (missing ones count as not positive)."""
+    """Mean, median, deviation and count of coefficients, and the share of positive ones (missing ones count as not positive).
+
+    Coefficients that are zero up to the order of summation count as zero.
+    """
+    ics = ics.withColumn("ic", F.round("ic", 9))
     return ics.groupBy(*by).agg(
         F.avg("ic").alias("mean_ic"),
         F.percentile("ic", F.lit(0.5)).alias("median_ic"),
@@ -53,6 +57,11 @@ def summary(ics: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def strongest(ics: DataFrame, n: int) -> DataFrame:
+    """The n coefficients of largest absolute value, ties by feature; missing ones last."""
+    return ics.orderBy(F.abs("ic").desc_nulls_last(), "feature").limit(n)
+
+
 def forward_lookup(scores: DataFrame, bars: DataFrame, horizons: list[int], bar_ms: int) -> DataFrame:
     """scores with horizon and forward_return, from the bar exactly `horizon` bars later; rows without it are dropped."""
     grid = scores.sparkSession.createDataFrame([(h,) for h in horizons], "horizon int")

@@ -24,6 +24,16 @@ def market_stress(frame: DataFrame, metric: str, quantile: float = 0.8, lookback
     return out.withColumn("is_stressed", F.coalesce(F.col("market_value") >= F.col("threshold"), F.lit(False)))
 
 
+def over_time():
+    """All times up to this one. For tables with one row per time only: they have no key to deal by."""
+    return Window.orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def map_market(panel: DataFrame, market: DataFrame) -> DataFrame:
+    """Every row of the panel with the market's figures at its time; NULL where the market has none."""
+    return panel.join(market, "open_time", "left")
+
+
 def throttle(market: DataFrame, min_history: int = 168) -> DataFrame:
     """blocked and reason of each time: empty_scores, insufficient_history, missing_threshold, stressed or normal."""
     reason = (
@@ -37,19 +47,31 @@ def throttle(market: DataFrame, min_history: int = 168) -> DataFrame:
 
 
 def decision_features(scores: DataFrame, score: str = "ridge_score") -> DataFrame:
-    """Ranks, gaps, breadth and persistence known at decision time, for rows of (pair, open_time, close, score)."""
+    """Ranks, gaps, breadth and persistence known at decision time, for rows of (pair, open_time, close, score).
+
+    The breadth counts pairs without a return as not up, so it is 0 at a pair's first time.
+    """
     s = F.col(score)
     order = Window.partitionBy("open_time").orderBy(s.desc_nulls_last(), "pair")
     out = scores.withColumn("entry_rank", F.when(s.isNotNull(), F.row_number().over(order)))
     out = out.withColumn("top_score", F.max(s).over(at_time())).withColumn("second_score", F.max(F.when(F.col("entry_rank") == 2, s)).over(at_time()))
     out = out.withColumn("median_score", F.percentile(score, F.lit(0.5)).over(at_time())).withColumn("score_gap", F.col("top_score") - F.col("second_score"))
     out = out.withColumn("leader", F.max(F.when(F.col("entry_rank") == 1, F.col("pair"))).over(at_time()))
-    step = F.col("close") / F.lag("close").over(by_pair()) - 1
-    out = out.withColumn("_up", F.when(step > 0, 1.0).otherwise(0.0)).withColumn("universe_breadth", F.avg("_up").over(at_time()))
-    out = out.withColumn("_top3", F.when(F.coalesce(F.col("entry_rank") <= 3, F.lit(False)), 1).otherwise(0))
-    for n in (3, 6, 12):
-        out = out.withColumn(f"top3_count_{n}", F.sum("_top3").over(rolling(n)))
-    return out.drop("_up", "_top3")
+    out = out.withColumn("median_gap", F.col("top_score") - F.col("median_score"))
+    out = out.withColumn("pair_return", safe_div(F.col("close"), F.lag("close").over(by_pair())) - 1)
+    out = out.withColumn("_up", F.when(F.col("pair_return") > 0, 1.0).otherwise(0.0)).withColumn("universe_breadth", F.avg("_up").over(at_time()))
+    out = out.withColumn("universe_return", F.avg("pair_return").over(at_time())).withColumn("universe_volatility", F.stddev_samp("pair_return").over(at_time()))
+    for name, most in (("top3", 3), ("rank1", 1)):
+        out = out.withColumn(f"_{name}", F.when(F.coalesce(F.col("entry_rank") <= most, F.lit(False)), 1).otherwise(0))
+        for n in (3, 6, 12):
+            out = out.withColumn(f"{name}_count_{n}", F.sum(f"_{name}").over(rolling(n)))
+    return out.drop("_up", "_top3", "_rank1")
+
+
+def with_trailing_gap(features: DataFrame, min_periods: int = 24) -> DataFrame:
+    """Decision features with trailing_gap, the median of all earlier gaps, mapped back to every row of its time."""
+    medians = expanding_gap_median(features, min_periods).select("open_time", F.col("gap_median").alias("trailing_gap"))
+    return features.join(medians, "open_time", "left")
 
 
 def expanding_gap_median(features: DataFrame, min_periods: int = 24) -> DataFrame:
@@ -65,6 +87,43 @@ def scaling(entries: DataFrame, names: list[str]) -> tuple[list[float], list[flo
     return [r[f"m_{c}"] for c in names], [r[f"s_{c}"] or 1.0 for c in names]
 
 
+def decide(names: list[str], means: list[float], stds: list[float], centres: list[list[float]], allowed: list[int]) -> Column:
+    """A struct of allowed, cluster_id, distance and reason: no_centroids, missing_features, allowed_cluster, blocked_cluster.
+
+    A gate without centres blocks everything, and so does a row with a missing feature.
+    """
+    none = lambda reason: F.struct(F.lit(False).alias("allowed"), F.lit(None).cast("int").alias("cluster_id"), F.lit(None).cast("double").alias("distance"), F.lit(reason).alias("reason"))
+    if not centres:
+        return none("no_centroids")
+    z = [(F.col(c) - m) / s for c, m, s in zip(names, means, stds)]
+    far = F.array(*[F.sqrt(sum(((a - b) * (a - b) for a, b in zip(z, centre)), F.lit(0.0))) for centre in centres])
+    at = (F.array_position(far, F.array_min(far)) - 1).cast("int")
+    ok = at.isin(allowed) if allowed else F.lit(False)
+    found = F.struct(ok.alias("allowed"), at.alias("cluster_id"), F.array_min(far).alias("distance"), F.when(ok, "allowed_cluster").otherwise("blocked_cluster").alias("reason"))
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    return F.when(whole, found).otherwise(none("missing_features"))
+
+
+def train_gate(entries: DataFrame, names: list[str], k: int = 4, first: list[list[float]] | None = None, order: list[str] | None = None, seed: int = 42, min_entries: int = 1, floor: float = 0.0, better: bool = True) -> dict:
+    """A gate from complete entries: means, stds, centres, allowed clusters and the average return.
+
+    Fewer complete entries than clusters give an empty gate, which blocks everything. The first centres are given, or
+    drawn by seed from the entries in `order`. Only sums, k centres and k summary rows pass the driver.
+    """
+    data = entries.dropna(subset=[*names, "return_pct"])
+    if data.limit(k).count() < k:
+        return {"means": [], "stds": [], "centres": [], "allowed": [], "average_return": None}
+    start = first if first is not None else first_centres(data.sparkSession, data, names, order or names, k, seed)
+    means, stds = scaling(data, names)
+    centres = kmeans(data, names, start)
+    tagged = data.withColumn("cluster_id", nearest(names, means, stds, centres).cast("int"))
+    keep = cluster_summary(tagged, min_entries=min_entries, floor=floor, better=better).filter("allowed").select("cluster_id").collect()
+    average = data.agg(F.avg("return_pct")).first()[0]
+    return {"means": means, "stds": stds, "centres": centres, "allowed": sorted(r["cluster_id"] for r in keep), "average_return": average}
+
+
 def nearest(names: list[str], means: list[float], stds: list[float], centres: list[list[float]]) -> Column:
     """The index of the nearest centre of the scaled features, the lowest of equals; NULL if a feature is missing."""
     z = [(F.col(c) - m) / s for c, m, s in zip(names, means, stds)]
@@ -95,7 +154,7 @@ def kmeans(entries: DataFrame, names: list[str], first: list[list[float]], round
     return centres
 
 
-def cluster_summary(entries: DataFrame, ret: str = "return_pct", pnl: str = "pnl", min_entries: int = 1, floor: float = 0.0) -> DataFrame:
+def cluster_summary(entries: DataFrame, ret: str = "return_pct", pnl: str = "pnl", min_entries: int = 1, floor: float = 0.0, better: bool = True) -> DataFrame:
     """Size, mean, median, win rate and pnl of each cluster, and whether the gate lets it through."""
     out = entries.groupBy("cluster_id").agg(
         F.count("*").alias("entries"),
@@ -105,7 +164,9 @@ def cluster_summary(entries: DataFrame, ret: str = "return_pct", pnl: str = "pnl
         F.sum(pnl).alias("total_pnl"),
     )
     overall = entries.agg(F.avg(ret).alias("_all"))
-    keep = (F.col("entries") >= min_entries) & (F.col("mean_return") >= floor) & (F.col("mean_return") > F.col("_all"))
+    keep = (F.col("entries") >= min_entries) & (F.col("mean_return") >= floor)
+    if better:
+        keep = keep & (F.col("mean_return") > F.col("_all"))
     return out.join(F.broadcast(overall)).withColumn("allowed", F.coalesce(keep, F.lit(False))).drop("_all")
 
 

@@ -67,6 +67,18 @@ def shadow_filters(entries: DataFrame, predicates: dict[str, Column], ret: str)
     return long.groupBy("predicate", "kept").agg(F.count("*").alias("n"), F.avg("_r").alias("mean_return"), F.avg(F.when(F.col("_r") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
 
 
+def split_audit(rows: DataFrame, label: str) -> DataFrame:
+    """First and last time, distinct times and pairs, and rows of each sample."""
+    return rows.groupBy(label).agg(F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"), F.countDistinct("open_time").alias("times"), F.countDistinct("pair").alias("pairs"), F.count("*").alias("n"))
+
+
+def rank_maps(frame: DataFrame, score: str) -> DataFrame:
+    """open_time, ranks: a map from pair to its place by score (from 1); rows without a score are left out."""
+    w = Window.partitionBy("open_time").orderBy(F.col(score).desc(), "pair")
+    places = frame.filter(F.col(score).isNotNull()).select("open_time", F.struct("pair", F.row_number().over(w).alias("place")).alias("_e"))
+    return places.groupBy("open_time").agg(F.map_from_entries(F.collect_list("_e")).alias("ranks"))
+
+
 def paired_deltas(results: DataFrame, key: str, label: str, base: str, other: str, values: list[str]) -> DataFrame:
     """other minus base of each value on the keys both have."""
     side = lambda name, p: results.filter(F.col(label) == name).select(key, *[F.col(v).alias(f"{p}_{v}") for v in values])

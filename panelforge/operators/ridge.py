@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 from dateutil.relativedelta import relativedelta
@@ -38,6 +38,58 @@ def month_folds(start: datetime, end: datetime, is_months: int, os_months: int,
     return folds
 
 
+def folds_back(first: datetime, end: datetime, os_months: int, required_months: int, folds: int, step_days: int) -> list[tuple[int, datetime, datetime, datetime, datetime]]:
+    """The latest out-of-sample windows, each step_days before the next, in time order: as month_folds() gives them.
+
+    `end` is exclusive. Each window needs required_months of history before it; ValueError if there are fewer than `folds`.
+    """
+    if min(os_months, required_months, folds, step_days) <= 0:
+        raise ValueError("months, folds and step_days must be positive")
+    latest, found = end - relativedelta(months=os_months), []
+    for k in range(folds):
+        start = latest - timedelta(days=step_days * k)
+        stop, needed = start + relativedelta(months=os_months), start - relativedelta(months=required_months)
+        if needed < first:
+            break
+        if stop <= end:
+            found.append((needed, start, start, stop))
+    if len(found) < folds:
+        raise ValueError(f"only {len(found)} of {folds} folds have {required_months} months of history before them")
+    return [(k, *x) for k, x in enumerate(reversed(found))]
+
+
+def refit_segments(start: datetime, end: datetime, ridge_days: int, regime_months: int, scheduled: bool = True) -> list[tuple[int, datetime, datetime, bool, bool]]:
+    """(segment, start, end, ridge_refit, regime_refit): the window cut at every refit; one segment if nothing is scheduled."""
+    if end <= start or ridge_days <= 0 or regime_months <= 0:
+        raise ValueError("the window and both steps must be positive")
+    ridge, regime = {start}, {start}
+    if scheduled:
+        n = 1
+        while (at := start + timedelta(days=ridge_days * n)) < end:
+            ridge.add(at)
+            n += 1
+        at = start + relativedelta(months=regime_months)
+        while at < end:
+            regime.add(at)
+            at = at + relativedelta(months=regime_months)
+    cuts = sorted(ridge | regime | {end})
+    return [(k, a, b, a in ridge, a in regime) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def pair_history(bars: DataFrame, pairs: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """pair, problem (missing, too_short or NULL) of each wanted pair, by the bars from start_ms to end_ms."""
+    span = bars.groupBy("pair").agg(F.min("open_time").alias("_a"), F.max("open_time").alias("_b"))
+    problem = F.when(F.col("_a").isNull(), "missing").when((F.col("_a") > start_ms) | (F.col("_b") < end_ms), "too_short")
+    return pairs.select("pair").distinct().join(span, "pair", "left").select("pair", problem.alias("problem"))
+
+
+def require_history(bars: DataFrame, pairs: DataFrame, start_ms: int, end_ms: int) -> None:
+    """ValueError that lists the pairs with problems; only those pass the driver."""
+    bad = pair_history(bars, pairs, start_ms, end_ms).filter("problem is not null").orderBy("problem", "pair").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['pair']}: {r['problem']}" for r in bad))
+
+
 def fold_table(spark: SparkSession, folds: list[tuple]) -> DataFrame:
     """fold, is_start, is_end, os_start, os_end in ms."""
     from datetime import timezone

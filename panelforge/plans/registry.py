@@ -12,7 +12,7 @@ from panelforge.functions.expr import safe_div
 from panelforge.operators import features as X
 from panelforge.operators import ic, regime, reports, ridge, simulate
 from panelforge.plans import sql
-from panelforge.session import table
+from panelforge.session import stored, table
 from panelforge.sources import bars as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,7 +164,7 @@ _ic_query("ic_by_time", ["open_time"], 8, "spearman")
 _ic_query("ic_conditional_tercile", ["risk_tercile", "open_time"], 4, "spearman")
 
 
-@query("ic_summary", f"{FRAME}, c AS ({sql.coefficients('features', IC_FEATURES, LABEL, ['open_time'], 8, 'spearman')}) SELECT feature, round(avg(ic), 6) AS mean_ic, round(quantile_cont(ic, 0.5), 6) AS median_ic, round(stddev_samp(ic), 6) AS std_ic, count(ic) AS periods, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_rate FROM c GROUP BY feature")
+@query("ic_summary", f"{FRAME}, c AS ({sql.coefficients('features', IC_FEATURES, LABEL, ['open_time'], 8, 'spearman')}), c9 AS (SELECT feature, round(ic, 9) AS ic FROM c) SELECT feature, round(avg(ic), 6) AS mean_ic, round(quantile_cont(ic, 0.5), 6) AS median_ic, round(stddev_samp(ic), 6) AS std_ic, count(ic) AS periods, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_rate FROM c9 GROUP BY feature")
 def ic_summary(spark, sf_dir):
     out = ic.summary(ic.coefficients(frame(spark, sf_dir), IC_FEATURES, LABEL, ["open_time"], 8), ["feature"])
     return out.select("feature", r6("mean_ic"), r6("median_ic"), r6("std_ic"), "periods", r6("positive_rate"))
@@ -213,7 +213,7 @@ def _folds(spark):
 
 def _fits(spark, sf_dir, model="momentum_only"):
     x = ridge.terms(model)
-    panel = frame(spark, sf_dir).select("pair", "open_time", "close", *x, "target_z", LABEL)
+    panel = stored(frame(spark, sf_dir).select("pair", "open_time", "close", *x, "target_z", LABEL), "panel")
     train = ridge.in_folds(panel, _folds(spark), "is").select("fold", "pair", "open_time", *x, "target_z")
     return panel, train, ridge.fit(train, x, "target_z", ALPHAS, ["fold"]), x
 
@@ -301,7 +301,7 @@ decision AS (SELECT *, {', '.join(f'sum(in3) OVER {sql.frame(n)} AS top3_count_{
 
 
 def _decision(spark, sf_dir):
-    return regime.decision_features(scored(spark, sf_dir), "score")
+    return stored(regime.decision_features(scored(spark, sf_dir), "score"), "decision")
 
 
 @query("decision_features", f"{DECISION} SELECT pair, open_time, entry_rank, {s6('score_gap')}, {s6('median_score')}, leader, {s6('universe_breadth')}, top3_count_3::BIGINT AS top3_count_3, top3_count_6::BIGINT AS top3_count_6, top3_count_12::BIGINT AS top3_count_12 FROM decision")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "panelforge") -> SparkSession:
@@ -20,6 +23,24 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "p
     )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the folder of spark.checkpoint.dir and reads it again.
+
+    For tables that a query reads several times: they are computed once, and a lost executor costs no more than a read.
+    Where the setting is unset, a local master gets a temporary folder; others must set it, as machines share nothing else.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

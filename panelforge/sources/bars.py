@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +88,30 @@ def bar_delta(bars: DataFrame) -> DataFrame:
     return times.select(gap.alias("gap")).agg(F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.0)).alias("delta_ms"))
 
 
+def normal_time(x: Column, kind: str) -> Column:
+    """A UTC timestamp from milliseconds or from text, by the column's type; what cannot be read is NULL."""
+    return F.timestamp_millis(x) if kind in ("int", "bigint", "long") else F.try_to_timestamp(x).cast("timestamp")
+
+
+def parse_pairs(text: str | None, form: Callable[[str], str] = str.upper, blank: list[str] | None = None) -> list[str] | None:
+    """The pairs of a comma-separated list in one form; None (all pairs) for `all`, `blank` for an empty list."""
+    if text is not None and text.strip().lower() == "all":
+        return None
+    found = [form(x.strip()) for x in (text or "").split(",") if x.strip()]
+    return found or blank
+
+
+def filter_pairs(rows: DataFrame, pairs: list[str] | None) -> DataFrame:
+    """Rows of the given pairs, all for None; ValueError if one of them has no row."""
+    if pairs is None:
+        return rows
+    wanted = rows.filter(F.col("pair").isin(pairs))
+    gone = sorted(set(pairs) - {r["pair"] for r in wanted.select("pair").distinct().collect()})
+    if gone:
+        raise ValueError(f"no rows for: {', '.join(gone)}")
+    return wanted
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
