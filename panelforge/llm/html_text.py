@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,95 +38,200 @@ FURNITURE_NAMES = frozenset(
 HOLDERS = frozenset("article body center details div html main section".split())  # the others belong to the text itself
 NEVER_NAMED = frozenset("html body main article".split())  # their classes speak of the page, not of furniture
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(f"(?P<{n}>{n})" for n in RAW) + r")\b[^>]*(?:/>|>.*?(?:</(?:" + "|".join(f"(?({n}){n}|(?!))" for n in RAW) + r")\s*>|\Z))"
-    r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+NAME = re.compile(r"(/?)([A-Za-z][\w:-]*)")
+SIGN = re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAMING = frozenset(("class", "id", "role"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，؟]")
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int, tuple[int, ...]]]:
-    """(path, furniture, text, characters in links, holders) of each block that has text, in page order.
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup, in order; name is empty for what has no text.
+
+    The time is linear in the page: what was once searched in vain is not searched again. A tag ends at the first `>`
+    outside quotes. An unclosed quote is none, so its tag ends at the next `>`; from the first tag on whose quotes leave
+    no `>` at all, tags end at their next `>`. A `<` without a name or an end is text, an unclosed comment or raw element
+    runs to the end of the page.
+    """
+    n, gone, quotes = len(page), {}, True
+
+    def find(sign: str, start: int) -> int:
+        if start >= gone.get(sign, n + 1):
+            return -1
+        at = page.find(sign, start)
+        if at < 0:
+            gone[sign] = start
+        return at
+
+    def end_of(start: int) -> int:
+        nonlocal quotes
+        at = start
+        while quotes:
+            m = SIGN.search(page, at)
+            if m is None:
+                quotes = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                closed = find(m[0], m.end())
+                if closed < 0:
+                    return find(">", m.end()) + 1
+                at = closed + 1
+        return find(">", start) + 1
+
+    at = 0
+    while (start := find("<", at)) >= 0:
+        m, closing, name, rest = NAME.match(page, start + 1), False, "", ""
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4) + 3
+            end = end if end > 2 else n
+        elif m is None:
+            end = find(">", start + 2) + 1 if page[start + 1 : start + 2] in ("!", "?") else 0
+        elif not m[1] and (raw := m[2].lower()) in RAW:
+            end = find(">", m.end()) + 1
+            if end and page[end - 2] != "/":
+                over = RAW_END[raw].search(page, end) if end < gone.get(raw, n + 1) else None
+                if over is None:
+                    gone[raw] = min(end, gone.get(raw, end))
+                end = over.end() if over else n
+        else:
+            end = end_of(m.end())
+            closing, name, rest = bool(m[1]), m[2].lower(), page[m.end() : max(end - 1, m.end())]
+        if end:
+            yield start, end, closing, name, rest
+        at = end or start + 1
+
+
+@dataclass
+class Block:
+    """A block with text: the number of its tag path, whether it is furniture, characters in links, its deepest holder."""
+
+    path: int
+    furniture: bool
+    text: str
+    link: int
+    holder: int
+
+
+@dataclass
+class Page:
+    """Blocks in page order; and the tree of holders: holders are numbered as they open, -1 is the page itself.
+
+    A holder spans the numbers from its own to `last`, so what lies in it is known without lists of ancestors, and memory
+    stays linear however deep the page is.
+    """
+
+    blocks: list[Block] = field(default_factory=list)
+    above: dict[int, int] = field(default_factory=dict)
+    last: dict[int, int] = field(default_factory=dict)
+
 
-    Holders are the numbers of the elements around a block down to the last one that is not part of the text itself.
+def blocks(page: str) -> Page:
+    """The blocks of a page that have text, with their tag paths from the root, and their holders.
+
+    Holders are the elements around a block that are not part of the text itself.
     """
-    found, stack, text, link, in_link, number = [], [], [], 0, 0, 0
+    found, paths, opened = Page(), {}, Counter()
+    stack: list[tuple[str, bool, int, int, int]] = []  # name, furniture, path, number, deepest holder
+    text, link, in_link, number = [], 0, 0, 0
 
     def end() -> None:
         nonlocal link
         said = " ".join(html.unescape("".join(text)).split())
         if said:
-            deepest = max((k for k, x in enumerate(stack) if x[0] in HOLDERS), default=-1)
-            found.append((tuple(x[0] for x in stack), any(x[1] for x in stack), said, min(link, len(said)), tuple(x[2] for x in stack[: deepest + 1])))
+            _, furniture, path, _, holder = stack[-1] if stack else ("", False, -1, -1, -1)
+            found.blocks.append(Block(path, furniture, said, min(link, len(said)), holder))
         text.clear()
         link = 0
 
     def leave(name: str, limits: tuple[str, ...] = ()) -> None:
+        if not opened[name]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
-                del stack[k:]
+                close(k)
                 return
             if stack[k][0] in limits:
                 return
 
+    def close(k: int) -> None:
+        for tag, _, _, n, _ in stack[k:]:
+            opened[tag] -= 1
+            found.last[n] = number
+        del stack[k:]
+
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            link += in_link * (m.start() - at)
-        at, tag = m.end(), (m["tag"] or "").lower()
+    for begins, ends, closing, tag, rest in tags(page):
+        if begins > at:
+            text.append(page[at:begins])
+            link += in_link * (begins - at)
+        at = ends
         if tag == "a":
-            in_link = int(not m["close"])
+            in_link = int(not closing)
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCKS or tag in FURNITURE:
             end()
-            if m["close"]:
+            if closing:
                 leave(tag)
             elif tag not in VOID:
                 if tag in CLOSES:
                     leave(tag, CLOSES[tag])
                 elif tag in BLOCKS:
                     leave("p", ("article", "div", "section", "td", "li", "body"))
-                words = {w for name, *x in ATTRIBUTE.findall(m["rest"]) if name.lower() in NAMING for w in "".join(x).lower().split()}
+                words = {w for name, *x in ATTRIBUTE.findall(rest) if name.lower() in NAMING for w in "".join(x).lower().split()}
                 number += 1
-                stack.append((tag, tag in FURNITURE or (tag not in NEVER_NAMED and bool(words & FURNITURE_NAMES)), number))
+                _, inside, path, _, holder = stack[-1] if stack else ("", False, -1, -1, -1)
+                named = tag in FURNITURE or (tag not in NEVER_NAMED and bool(words & FURNITURE_NAMES))
+                if tag in HOLDERS:
+                    found.above[number], holder = holder, number
+                stack.append((tag, inside or named, paths.setdefault((path, tag), len(paths)), number, holder))
+                opened[tag] += 1
     text.append(page[at:])
     end()
+    close(0)
     return found
 
 
+def path_ratios(parts: list[Block]) -> dict[int, float]:
+    """The fused ratio of each tag path: mean text length outside links, smoothed over neighbouring blocks, raised by punctuation.
+
+    Furniture counts as zero, and links lower a block by their share.
+    """
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for k, x in enumerate(parts):
+        near = [len(y.text) - y.link for y in parts[max(0, k - 1) : k + 2] if not y.furniture]
+        s = sums[x.path]
+        s[0] += 0 if x.furniture else (sum(near) / max(len(near), 1) + len(x.text) - x.link) / 2 * (1 - x.link / len(x.text))
+        s[1] += len(PUNCTUATION.findall(x.text))
+        s[2] += 1
+    return {path: length / n * (1 + min(1.0, 20 * marks / n / max(length / n, 1))) for path, (length, marks, n) in sums.items()}
+
+
 def content(page: str | None, threshold: float = 0.2) -> str:
     """The kept blocks of a page, one to a line; empty if there are none."""
     if not page:
         return ""
-    parts = blocks(page)
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for k, (path, furniture, said, link, _) in enumerate(parts):
-        near = [len(x[2]) - x[3] for x in parts[max(0, k - 1) : k + 2] if not x[1]]
-        s = sums[path]
-        s[0] += 0 if furniture else (sum(near) / max(len(near), 1) + len(said) - link) / 2 * (1 - link / len(said))
-        s[1] += len(PUNCTUATION.findall(said))
-        s[2] += 1
-    ratio = {path: length / n * (1 + min(1.0, 20 * marks / n / max(length / n, 1))) for path, (length, marks, n) in sums.items()}
+    cut = blocks(page)
+    ratio = path_ratios(cut.blocks)
     most = max(ratio.values(), default=0)
     kept = {path for path, x in ratio.items() if x > 0 and x >= threshold * most}
-    holders = [x[4] for x in parts if not x[1] and x[0] in kept]
+    holders = [x.holder for x in cut.blocks if not x.furniture and x.path in kept]
     if not holders:
         return ""
-    low, high = min(holders), max(holders)  # what these two share, all share
-    shared = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    return "\n".join(said for _, furniture, said, _, held in parts if not furniture and held[:shared] == low[:shared])
+    shared, high = min(holders), max(holders)
+    while shared >= 0 and cut.last[shared] < high:  # the lowest holder of all of them
+        shared = cut.above[shared]
+    top = cut.last[shared] if shared >= 0 else float("inf")
+    return "\n".join(x.text for x in cut.blocks if not x.furniture and shared <= x.holder <= top)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", threshold: float = 0.2) -> DataFrame:
     """`pages` with text (the main text, empty if none) and n_chars (its code points) in place of the HTML column.
 
-    A null page is empty. Unclosed elements end where HTML lets them; an unclosed comment or script runs to the end of
+    A null page is empty, an empty table gives no rows. Unclosed elements end where HTML lets them; an unclosed comment or script runs to the end of
     the page. Nothing is cut off, repeated rows are handled one by one, other columns are carried along.
     """
 

@@ -386,6 +386,108 @@ def test_html_text_holds_short_blocks():
     assert beside == f"{long.strip()}\n{long.strip()}"
 
 
+def _plain_content(page, threshold=0.2):
+    """A second, plain form of html_text.content(): the standard library's parser, and paths and ancestors as lists."""
+    from html.parser import HTMLParser
+
+    H, out = html_text, []
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.text, self.link, self.a, self.raw, self.n = [], "", 0, 0, 0, 0
+
+        def end(self):
+            said = " ".join(self.text.split())
+            if said:
+                out.append(([x[0] for x in self.stack], any(x[1] for x in self.stack), said, min(self.link, len(said)), [x[2] for x in self.stack if x[0] in H.HOLDERS]))
+            self.text, self.link = "", 0
+
+        def leave(self, name, limits=()):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == name:
+                    del self.stack[k:]
+                    return
+                if self.stack[k][0] in limits:
+                    return
+
+        def handle_starttag(self, tag, attrs):
+            if tag in H.RAW:
+                self.raw += 1
+            elif tag == "a":
+                self.a = 1
+            elif tag == "br":
+                self.text += " "
+            elif tag in H.BLOCKS | H.FURNITURE:
+                self.end()
+                if tag not in H.VOID:
+                    self.leave(tag, H.CLOSES[tag]) if tag in H.CLOSES else self.leave("p", ("article", "div", "section", "td", "li", "body")) if tag in H.BLOCKS else None
+                    words = {w for k, v in attrs if k in H.NAMING for w in (v or "").lower().split()}
+                    self.n += 1
+                    self.stack.append((tag, tag in H.FURNITURE or (tag not in H.NEVER_NAMED and bool(words & H.FURNITURE_NAMES)), self.n))
+
+        def handle_endtag(self, tag):
+            if tag in H.RAW:
+                self.raw -= 1
+            elif tag == "a":
+                self.a = 0
+            elif tag in H.BLOCKS | H.FURNITURE:
+                self.end()
+                self.leave(tag)
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text += data
+                self.link += self.a * len(data)
+
+    p = P()
+    p.feed(page)
+    p.close()
+    p.end()
+    ratios = {}
+    for path in {tuple(x[0]) for x in out}:
+        mine, marks = [], 0
+        for k, x in enumerate(out):
+            if tuple(x[0]) == path:
+                near = [len(y[2]) - y[3] for y in out[max(0, k - 1) : k + 2] if not y[1]]
+                mine.append(0 if x[1] else (sum(near) / max(len(near), 1) + len(x[2]) - x[3]) / 2 * (1 - x[3] / len(x[2])))
+                marks += sum(c in ".,;:!?…。،؟" for c in x[2])
+        mean = sum(mine) / len(mine)
+        ratios[path] = mean * (1 + min(1.0, 20 * marks / len(mine) / max(mean, 1)))
+    kept = [x for x in out if not x[1] and 0 < ratios[tuple(x[0])] >= threshold * max(ratios.values())]
+    if not kept:
+        return ""
+    shared = [h for h in kept[0][4] if all(h in x[4] for x in kept)]
+    return "\n".join(x[2] for x in out if not x[1] and (not shared or shared[-1] in x[4]))
+
+
+def test_html_text_against_a_plain_form(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(50).collect()]
+    pages += [PAGE, "<p>unclosed", "<div><p>one, two. three<p>four five six, seven</div><ul><li>x<li>y</ul>"]
+    assert [html_text.content(p) for p in pages] == [_plain_content(p) for p in pages]
+
+
+def test_html_text_threshold_decides():
+    long, middle = "Words of a sentence, and more words. " * 20, "Some words here, not many. " * 4
+    page = f"<body><section><p>{long}</p><p>{long}</p></section><section><ul><li>{middle}</li></ul></section></body>"
+    texts = {t: html_text.content(page, t) for t in (0.05, 0.2, 0.9)}
+    assert middle.strip() in texts[0.05] and middle.strip() not in texts[0.9] and long.strip() in texts[0.9]
+    assert texts[0.05] != texts[0.9]
+
+
+def test_html_text_is_linear(spark):
+    import time
+
+    began = time.time()
+    for part in ("<a title=\"x ", "<a \"x>\" ", "<", "<p ", "<script ", "<div>x", "</p>"):
+        html_text.content(part * (1_000_000 // len(part) if part != "<div>x" else 20_000))
+    assert time.time() - began < 20
+    assert html_text.content("<div><p title=\"a>One, two words.</p></div>") == "One, two words."
+    odd = spark.createDataFrame([(1, "u", "<p>Long enough text, here.</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    out = html_text.extracted(odd)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.first().text == "Long enough text, here." and html_text.extracted(odd.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_columns(spark, name):
     df = registry.QUERIES[name](spark, SF)
