@@ -1,11 +1,13 @@
 """Document fingerprints by winnowing, as DataFrame functions.
 
-Every run of k code points is hashed; of each window of w neighbouring hashes the smallest is kept, the rightmost one
-if several are equal, with its position. Two texts that share a run of w + k - 1 code points share a kept hash.
+Every run of k code points has a rolling hash: the polynomial hash of two neighbouring runs gives that of both together,
+so all k-grams cost log2(k) passes over the text, not k. Of each window of w neighbouring hashes the smallest is kept, the
+rightmost one if several are equal, with its position. Two texts that share a run of w + k - 1 code points share a kept
+hash. What a fingerprint holds is the 64-bit hash of each kept gram; the 31-bit rolling hash only chooses.
 
 A hash and its position are packed in one long (hash above, complement of the position below), so that the smaller long
 is the smaller hash or the one further right, and the window minimum is log2(w) passes of pairwise minima. Texts are
-read as UTF-32, where the k-gram at any place is a slice of fixed size.
+read as UTF-32, where the code point at any place is a slice of fixed size.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 LAST = (1 << 31) - 1  # positions are below this
+MASK, BASE = (1 << 31) - 1, 1_000_003  # rolling hashes are polynomials in BASE modulo MASK + 1; their products fit in a long
 
 
 def _let(value: Column, use) -> Column:
@@ -22,14 +25,36 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
-    """Packed hash and position of the k-grams that start at places start to end - 1 of a UTF-32 binary."""
+def _joined(a: Column, b: Column, size_a: int, size_b: int) -> Column:
+    """Hashes of the runs of size_a + size_b, given those of both sizes at every place; NULL where the text ends before."""
+    factor = F.lit(pow(BASE, size_b, MASK + 1))
+    return F.zip_with(a, F.slice(b, size_a + 1, F.greatest(F.size(b) - size_a, F.lit(0))), lambda x, y: (x * factor + y).bitwiseAND(F.lit(MASK)))
+
+
+def _rolled(x: Column, k: int, use) -> Column:
+    """use(rolling hashes of the runs of k symbols) for the symbol values x; the last k - 1 are NULL."""
+    if k == 1:
+        return use(x)
+
+    def doubled(y: Column) -> Column:
+        both = _joined(y, y, k // 2, k // 2)
+        return _let(_joined(both, x, k - 1, 1) if k % 2 else both, use)
 
-    def key(i: Column) -> Column:
-        gram = F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * k)))
-        return F.shiftleft(gram.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(LAST) - i)
+    return _rolled(x, k // 2, doubled)
 
-    return F.when(start < end, F.transform(F.sequence(start, end - 1), key)).otherwise(F.array().cast("array<bigint>"))
+
+def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
+    """Packed hash and position of the k-grams that start at places start to end - 1 of a UTF-32 binary.
+
+    A text shorter than k is one gram; as there is nothing to choose from, it needs no hash here.
+    """
+    symbol = lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4))).bitwiseAND(F.lit(MASK))
+    symbols = F.transform(F.sequence(start, end + (k - 2)), symbol)
+    packed = lambda hashes: F.transform(F.slice(hashes, F.lit(1), end - start), lambda h, j: F.shiftleft(h, 31).bitwiseOR(F.lit(LAST) - start - j))
+    none = F.array().cast("array<bigint>")
+    short = F.array((F.lit(LAST) - start).cast("bigint"))
+    whole = F.floor(F.octet_length(raw) / 4) >= end + (k - 1)
+    return F.when(start >= end, none).when(~whole, short).otherwise(_let(symbols, lambda x: _rolled(x, k, packed)))
 
 
 def _window_minima(keys: Column, w: int) -> Column:
@@ -60,9 +85,10 @@ def winnowed(text: Column, k: int, w: int) -> tuple[Column, Column]:
     return keys, _window_minima(keys, w)
 
 
-def hashes(minima: Column) -> Column:
-    """The kept hashes in text order, each position once."""
-    return F.transform(F.array_distinct(minima), lambda x: F.shiftright(x, 31))
+def hashes(minima: Column, text: Column, k: int) -> Column:
+    """The 64-bit hashes of the kept grams of `text` in text order, each position once."""
+    gram = lambda raw: lambda x: F.xxhash64(F.substring(raw, (F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("int") * 4 + 1, F.lit(4 * k)))
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda raw: F.transform(F.array_distinct(minima), gram(raw)))
 
 
 def positions(minima: Column) -> Column:
@@ -79,19 +105,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = 8, w: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hashes, positions of each document. Null and empty texts have none; a text of fewer than k code points
-    is one gram, one of fewer than w grams is one window."""
-    part = docs.select(F.col(id_col).alias("doc_id"), winnowed(F.col(text_col).cast("string"), k, w)[1].alias("m"))
-    return part.select("doc_id", hashes(F.col("m")).alias("hashes"), positions(F.col("m")).alias("positions"))
+    is one gram, one of fewer than w grams is one window. Repeated rows each have theirs, a null id is carried along, an
+    empty table gives no rows, other columns are ignored."""
+    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    part = part.withColumn("m", winnowed(F.col("_text"), k, w)[1])
+    return part.select("doc_id", hashes(F.col("m"), F.col("_text"), k).alias("hashes"), positions(F.col("m")).alias("positions"))
 
 
-def _bucketed(docs: DataFrame, rows_per_bucket: int, cells: int = 256) -> tuple[DataFrame, DataFrame]:
+def _bucketed(docs: DataFrame, rows_per_bucket: int, cells: int = 256, block_of: int = 65_536) -> tuple[DataFrame, DataFrame]:
     """docs with `bucket`, which rises with doc_id and holds about rows_per_bucket rows; and bucket, next_bucket: the
     next bucket that is not empty going down, the highest one after the lowest.
 
-    Approximate quantiles of doc_id give `cells` ranges of about equal counts, each cut in ranges of equal width.
+    Approximate quantiles of doc_id give `cells` ranges of about equal counts, each cut in ranges of equal width. Rows
+    without an id follow below all others, in ranges of their texts' hashes, so that they too are many buckets.
     """
     edges = [i / cells for i in range(cells + 1)]
-    rows, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", edges, 10_000)).first()
+    rows, idless, cuts = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", edges, 10_000)).first()
     cuts = sorted(set(cuts or []))
     parts = max(1, round(rows / cells / rows_per_bucket))
     if len(cuts) < 2:
@@ -101,11 +130,18 @@ def _bucketed(docs: DataFrame, rows_per_bucket: int, cells: int = 256) -> tuple[
         at = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts[1:-1]]).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
         low, high = bounds[at], bounds[at + 1]
         cell, part = at, F.least(F.greatest(F.floor((F.col("doc_id") - low) / (high - low) * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(cell.cast("bigint") * parts + part)
+    ranges = max(1, round(idless / rows_per_bucket))
+    place = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * ranges)  # rises with the hash
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.least(place, F.lit(ranges - 1))).otherwise(cell.cast("bigint") * parts + part)
     dealt = docs.withColumn("bucket", bucket.cast("bigint"))
-    there = dealt.select("bucket").distinct()
-    follow = F.coalesce(F.lag("bucket").over(W.orderBy("bucket")), F.max("bucket").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return dealt, there.select("bucket", follow.alias("next_bucket"))
+    # the bucket before each: inside blocks of buckets by a window, for a block's first from the block before it; there
+    # are rows / rows_per_bucket / block_of buckets in a block's table, so no task sees all buckets
+    there = dealt.select("bucket").distinct().withColumn("_block", F.floor(F.col("bucket") / block_of))
+    blocks = there.groupBy("_block").agg(F.max("bucket").alias("_top"))
+    before = W.orderBy("_block")
+    blocks = blocks.select("_block", F.lag("_top").over(before).alias("_before"), F.max("_top").over(before.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_highest"))
+    follow = F.coalesce(F.lag("bucket").over(W.partitionBy("_block").orderBy("bucket")), F.col("_before"), F.col("_highest"))
+    return dealt, there.join(F.broadcast(blocks), "_block").select("bucket", follow.alias("next_bucket"))
 
 
 def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +149,7 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
 
     The edited text has the last floor(n / 2) code points replaced by as many, or all, from the start of the next
     document, going down by doc_id (after the last: the first). Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint (hashes joined by commas), near_edited, near_next, n_kept.
+    edited_fingerprint (hashes joined by commas), near_edited, near_next, n_kept, positions (of the kept hashes).
 
     Null texts count as empty, null ids come last; rows with the same id follow in the order of their texts' hashes. A
     single document is next to itself. Texts are shuffled once; grams and windows of the half that an edited text
@@ -129,7 +165,8 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     own = lined.join(first, "bucket", "left").withColumn("_after", F.coalesce("_next", "_first"))
     own = own.withColumn("n", F.length("text")).withColumn("_keys", keys)
     own = own.withColumn("_min", _window_minima(F.col("_keys"), w))
-    own = own.withColumn("_hashes", hashes(F.col("_min")))
+    own = own.withColumn("_hashes", hashes(F.col("_min"), F.col("text"), k))
+    own = own.withColumn("_places", positions(F.col("_min")))
     half = F.floor(F.col("n") / 2).cast("int")
     own = own.withColumn("_keep", F.col("n") - half).withColumn("_new", F.expr("substring(_after, 1, n - _keep)"))
     own = own.withColumn("_n2", F.col("_keep") + F.length("_new"))
@@ -143,8 +180,8 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     # fewer than w grams are a window of their own only where no whole window lies in the kept part
     rest = _let(tail, lambda x: F.when((F.col("_m") == 0) | (F.size(x) >= w), _window_minima(x, w)).otherwise(F.array().cast("array<bigint>")))
     own = own.withColumn("_min2", F.concat(F.slice("_min", F.lit(1), F.col("_m")), rest))
-    own = own.withColumn("_hashes2", hashes(F.col("_min2")))
-    nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(winnowed(F.col("_after"), k, w)[1])))
+    own = own.withColumn("_hashes2", hashes(F.col("_min2"), F.col("_edited"), k))
+    nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(winnowed(F.col("_after"), k, w)[1], F.col("_after"), k)))
     own = own.withColumn("_hashes3", nxt)
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return own.select(
@@ -156,4 +193,5 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
         likeness(F.col("_hashes"), F.col("_hashes2")).alias("near_edited"),
         likeness(F.col("_hashes"), F.col("_hashes3")).alias("near_next"),
         F.size("_hashes").cast("long").alias("n_kept"),
+        joined("_places").alias("positions"),
     )

@@ -37,21 +37,31 @@ def mixed_texts():
     return [*base, long, *near, *far, long.upper(), "one two", "One two", "", "  \n", None, base[3], base[3]]
 
 
-def test_winnow_brute_force(spark, mixed_texts):
-    k, w = 4, 8
-    got = {r.doc_id: r for r in winnow.fingerprints(docs_of(spark, mixed_texts), k, w).collect()}
-    for i, text in enumerate(mixed_texts):
+@pytest.mark.parametrize("k, w", [(4, 8), (8, 16), (5, 4), (1, 2)])
+def test_winnow_brute_force(spark, mixed_texts, k, w):
+    """Against rolling hashes computed gram by gram: the minimum of every window, rightmost of equals, and no other."""
+    texts = [*mixed_texts, "aaaa" * 20, "abab" * 15, "\U0001f600é" * 20, "ab", "a"]
+    chars = sorted({c for t in texts for c in t or ""})
+    value = {r.c: r.v for r in spark.createDataFrame([(c,) for c in chars], "c string").select("c", F.xxhash64(F.encode("c", "UTF-32")).bitwiseAND(F.lit(winnow.MASK)).alias("v")).collect()}
+    got = {r.doc_id: r for r in winnow.fingerprints(docs_of(spark, texts), k, w).collect()}
+    grams_kept = {}
+    for i, text in enumerate(texts):
         text = text or ""
         grams = [text[j : j + k] for j in range(max(len(text) - k + 1, min(len(text), 1)))]
-        value = {g: x for g, x in zip(grams, [None] * len(grams))}
-        at = dict(zip(got[i].positions, got[i].hashes))
-        for p, h in at.items():
-            value[grams[p]] = h if value[grams[p]] is None else value[grams[p]]
-            assert value[grams[p]] == h
-        if not grams:
-            assert not at
-        for s in range(max(len(grams) - w + 1, 1 if grams else 0)):  # every window keeps one of its grams
-            assert any(s <= p < s + w for p in at)
+        rolled = []
+        for g in grams:
+            h = 0
+            for c in g:
+                h = (h * winnow.BASE + value[c]) & winnow.MASK
+            rolled.append(h)
+        want = []
+        for s in range(max(len(grams) - w + 1, 1 if grams else 0)):
+            window = range(s, min(s + w, len(grams)))
+            want.append(min(window, key=lambda j: (rolled[j], -j)))
+        assert got[i].positions == list(dict.fromkeys(want)), i
+        for p, h in zip(got[i].positions, got[i].hashes):
+            assert grams_kept.setdefault(h, grams[p]) == grams[p]  # equal hashes are equal grams
+    assert len(grams_kept) == len(set(grams_kept.values()))
 
 
 def test_winnow_match_guarantee(spark):
@@ -60,6 +70,23 @@ def test_winnow_match_guarantee(spark):
     assert set(got[0].hashes) & set(got[1].hashes)
 
 
+def _alike(a, b):
+    x, y = set(filter(None, a.split(","))), set(filter(None, b.split(",")))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_edit_study_without_ids_and_with_clashing_names(spark):
+    rows = [(None, f"text number {k} " * 3, "x", k) for k in range(40)] + [(5, "one", "y", 1), (5, "one", "y", 1), (6, None, "z", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, bucket string, n int")
+    for buckets in (4, 1_000):
+        out = winnow.edit_study(odd, rows_per_bucket=buckets).collect()
+        assert len(out) == 43 and sum(r.doc_id is None for r in out) == 40
+        order = sorted([r for r in rows if r[0] is not None], key=lambda r: -r[0])
+        assert [r.n_chars for r in out if r.doc_id == 6] == [0] and len(order) == 3
+    a, b = (sorted((r.n_chars, r.fingerprint, r.edited_sha256) for r in winnow.edit_study(odd, rows_per_bucket=n).collect()) for n in (4, 1_000))
+    assert a == b  # the buckets decide nothing
+
+
 def test_edit_study(spark, mixed_texts):
     got = {r.doc_id: r for r in winnow.edit_study(docs_of(spark, mixed_texts), rows_per_bucket=2).collect()}
     order = sorted(range(len(mixed_texts)), reverse=True)
@@ -71,6 +98,9 @@ def test_edit_study(spark, mixed_texts):
         assert 0 <= got[i].near_next <= 1
         if edited == text:
             assert got[i].fingerprint == got[i].edited_fingerprint and got[i].near_edited == 1
+        assert got[i].near_edited == _alike(got[i].fingerprint, got[i].edited_fingerprint)
+        assert got[i].near_next == _alike(got[i].fingerprint, got[order[(place + 1) % len(order)]].fingerprint)
+        assert got[i].positions.count(",") == got[i].fingerprint.count(",")
     assert got[12].fingerprint != got[13].fingerprint
     assert winnow.edit_study(docs_of(spark, ["a"]).limit(0)).count() == 0
 
