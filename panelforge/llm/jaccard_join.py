@@ -32,6 +32,7 @@ ROWS_A_CELL = 4_096
 TOKENS_A_BUNDLE = 400_000  # tokens that a task sends on at once
 COUNTED, OFTEN = 2_000_000, 8  # tokens that a task counts together, and how often it must meet one there to report it
 ROWS_OUT = 100_000
+SALT, SECOND = 0x5851F42D4C957F2D, 0x14057B7EF767814F  # of the two hashes of a set
 
 
 def enough(overlap, sizes):
@@ -106,8 +107,8 @@ class CountTree:
             yield from self._down(level - 1, x[once], y[once])
 
 
-def set_table(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, cls (a hash of the set, null if it is empty), point, often: one row per document.
+def set_table(docs: DataFrame, shingle: int, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, cls and second (two hashes of the set, null if it is empty), point, often: one row per document.
 
     Some rows carry in `often` (token, times) pairs of 64 bits each: what a task met OFTEN times or more, in different
     sets, among about COUNTED tokens in a row.
@@ -116,25 +117,25 @@ def set_table(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met, seen, size = [], set(), 0
         for batch in batches:
-            n, cls, points, often = [], [], [], [None] * len(batch)
+            n, both, points, often = [], [], [], [None] * len(batch)
             for k, x in shingle_sets(batch["text"], shingle):
                 n.append(len(x))
-                cls.append(set_class(x))
+                both.append((set_hash(x, SALT, bits), set_hash(x, SECOND)))
                 points.append(count_vector(x).tobytes() if len(x) else None)
-                if cls[-1] is not None and cls[-1] not in seen:
-                    seen.add(cls[-1])
+                if len(x) and both[-1] not in seen:
+                    seen.add(both[-1])
                     met.append(x)
                     size += len(x)
                 if size >= COUNTED:
                     often[k] = _often(met)
                     met, seen, size = [], set(), 0
             if len(batch):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": pd.array(cls, "Int64"), "point": points, "often": often})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": pd.array([a for a, _ in both], "Int64"), "second": pd.array([b for _, b in both], "Int64"), "point": points, "often": often})
         if met:  # the rest hangs on a row of its own, which near_duplicates() takes out again
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n_shingles": [-1], "cls": pd.array([None], "Int64"), "point": [None], "often": [_often(met)]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n_shingles": [-1], "cls": pd.array([None], "Int64"), "second": pd.array([None], "Int64"), "point": [None], "often": [_often(met)]})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInPandas(lean(read, "shingles"), "doc_id long, n_shingles long, cls long, point binary, often binary")
+    return source.mapInPandas(lean(read, "shingles"), "doc_id long, n_shingles long, cls long, second long, point binary, often binary")
 
 
 def _often(met: list[np.ndarray]) -> bytes:
@@ -157,11 +158,39 @@ def hot_tokens(sets: DataFrame, at_least: int) -> dict[int, int]:
     return {r["token"] % (1 << 64): r["times"] for r in told.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= at_least).collect()}
 
 
-def set_class(tokens: np.ndarray) -> int | None:
-    """64-bit hash of a set of tokens; None if it is empty."""
+def set_hash(tokens: np.ndarray, salt: int, bits: int = 64) -> int | None:
+    """A hash of a set of tokens, cut to `bits`; None if it is empty."""
     if not len(tokens):
         return None
-    return int(mixed(np.array([mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+    return int(mixed(np.array([mixed(tokens ^ np.uint64(salt)).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0]) >> (64 - bits)
+
+
+def set_class(tokens: np.ndarray, clashing: frozenset[int] = frozenset(), bits: int = 64) -> int | None:
+    """What names a set: its first hash, or the second one where different sets have the same first (`clashing`)."""
+    first = set_hash(tokens, SALT, bits)
+    return set_hash(tokens, SECOND) if first in clashing else first
+
+
+def _grouped(sets: DataFrame) -> DataFrame:
+    """cls, lowest (doc_id), n, clash (whether second hashes differ): one row per class."""
+    return stored(
+        sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.max("n_shingles").alias("n"), (F.min("second") != F.max("second")).alias("clash")),
+        "classes",
+    )
+
+
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(sets with the classes of set_class(), cls and lowest and n of each class, the clashing first hashes).
+
+    Sets are told apart by 128 bits: those whose first hashes are equal and second ones are not get the second as their
+    class. Of n different sets about n * n / 2 ** 65 hashes clash (some hundred of 10 ** 11), so they fit in the plan.
+    """
+    classes = _grouped(sets)
+    clashing = frozenset(r.cls for r in classes.filter("clash").select("cls").collect())
+    if clashing:
+        sets = sets.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("second")).otherwise(F.col("cls")))
+        classes = _grouped(sets)
+    return sets.drop("second"), classes.drop("clash"), clashing
 
 
 def _ids(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -169,7 +198,9 @@ def _ids(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF))
 
 
-def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str, hot: dict[int, int] | None = None) -> DataFrame:
+def shared_shingles(
+    docs: DataFrame, shingle: int, buckets: int, text_col: str, hot: dict[int, int] | None = None, clashing: frozenset[int] = frozenset(), bits: int = 64
+) -> DataFrame:
     """cls, lost, token, df: the shingles that at least two different sets hold, with how many do.
 
     A token is 32 bits of its hash and a bucket, so tasks exchange four bytes a token: each batch sends one row per
@@ -187,7 +218,7 @@ def shared_shingles(docs: DataFrame, shingle: int, buckets: int, text_col: str,
             tokens, head = [], []
             size, sent = 0, set()
             for _, x in shingle_sets(batch["text"], shingle):
-                cls = set_class(x)
+                cls = set_class(x, clashing, bits)
                 if cls is None or cls in sent:
                     continue
                 sent.add(cls)
@@ -433,31 +464,35 @@ def _likely(cells: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls, component_id, links_found: one row per document.
+def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id, component_class: one row per document.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of at least 0.8; component_id is the
-    smallest doc_id reachable by links. cls is the hash of the set (equal sets are one class; 64 bits). Every link
+    smallest doc_id reachable by links. cls names the set (equal sets are one class, told apart by two 64-bit hashes;
+    `bits` of the first, fewer of which only make it clash more often, which gives the same links). Every link
     between different sets either is verified or joins two documents already joined by verified links.
 
     Null, empty and blank texts have an empty set, cls null and themselves as component. Repeated rows each get a row;
     a null doc_id takes part, but is never the smallest. An empty table gives no rows. Other columns are ignored.
     """
+    return _found(docs, shingle, id_col, text_col, bits)[0]
+
+
+def _found(docs: DataFrame, shingle: int, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, frozenset[int]]:
+    """(rows of near_duplicates(), the clashing first hashes)."""
     bounded_batches(docs.sparkSession)
-    told = stored(set_table(docs, shingle, id_col, text_col), "sets")
-    sets = told.filter("n_shingles >= 0").drop("often")
+    told = stored(set_table(docs, shingle, id_col, text_col, bits), "sets")
+    sets, classes, clashing = set_classes(told.filter("n_shingles >= 0").drop("often"))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(2, -(-total // TOKENS_A_BUCKET))
     hot = hot_tokens(told, max(TOKENS_A_BUCKET // 2, total // 100_000, OFTEN))  # 100,000 at most
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.max("n_shingles").alias("n"))
-    classes = stored(classes, "classes")
-    shared = stored(shared_shingles(docs, shingle, buckets, text_col, hot), "shared")
+    shared = stored(shared_shingles(docs, shingle, buckets, text_col, hot, clashing, bits), "shared")
     cells = stored(shards(shared, classes), "shards")
 
     known = stored(cells.select("cls").distinct(), "known")
     points = sets.join(small_side(known), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
     points = stored(points, "points")
-    texts = stored(_texts(docs, points, shingle, id_col, text_col), "texts")
+    texts = stored(_texts(docs, points, shingle, id_col, text_col, clashing, bits), "texts")
 
     # first a likely link of each set, then, round by round, its nearest set of another component, as long as that
     # closes shards, and last all pairs of different components in the shards that are still open
@@ -476,17 +511,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     classes = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "lowest", F.coalesce("root", "cls").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("lowest").alias("component_id"))
     final = stored(classes.select("cls", "comp").join(lowest, "comp").select("cls", "component_id", "comp"), "classes")
-    return sets.select("doc_id", "n_shingles", "cls").join(final, "cls", "left").select(
+    rows = sets.select("doc_id", "n_shingles", "cls").join(final, "cls", "left").select(
         "doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("comp").alias("component_class")
     )
+    return rows, clashing
 
 
-def _texts(docs: DataFrame, points: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, points: DataFrame, shingle: int, id_col: str, text_col: str, clashing: frozenset[int], bits: int) -> DataFrame:
     """cls, text of one document of each class in points. An id may have several texts; the class tells them apart."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            same = [set_class(x) == c for (_, x), c in zip(shingle_sets(batch["text"], shingle), batch["cls"])]
+            same = [set_class(x, clashing, bits) == c for (_, x), c in zip(shingle_sets(batch["text"], shingle), batch["cls"])]
             yield batch[same]
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -495,18 +531,18 @@ def _texts(docs: DataFrame, points: DataFrame, shingle: int, id_col: str, text_c
     return found.mapInPandas(lean(pick, "shingles"), "cls long, text string").dropDuplicates(["cls"])
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays.
 
     Rows whose text has no words all stay. Of repeated rows with the same smallest id, one stays.
     """
-    found = near_duplicates(docs, shingle, id_col, text_col)
+    found, clashing = _found(docs, shingle, id_col, text_col, bits)
     alone = stored(found.filter(F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "cls", "component_class").distinct(), "kept")
     names = docs.columns
 
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([set_class(x) for _, x in shingle_sets(batch, shingle)], dtype="Int64")
+            yield pd.Series([set_class(x, clashing, bits) for _, x in shingle_sets(batch, shingle)], dtype="Int64")
 
     keyed = docs.join(small_side(alone.select(F.col("doc_id").alias("_kept")).distinct()), F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
     keyed = keyed.withColumn("_cls", F.pandas_udf(lean(tag, "shingles"), "long")(F.col(text_col).cast("string")))

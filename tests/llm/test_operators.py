@@ -182,6 +182,20 @@ def test_jaccard_join(spark, mixed_texts, monkeypatch):
     assert jaccard_join.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_join_with_clashing_hashes(spark, mixed_texts):
+    docs = docs_of(spark, mixed_texts)
+    want = _components(mixed_texts)
+    for bits in (2, 64):
+        got = jaccard_join.near_duplicates(docs, bits=bits).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    sets = jaccard_join.set_table(docs, 5, "doc_id", "text", 2).filter("n_shingles >= 0").drop("often")
+    named, classes, clashing = jaccard_join.set_classes(sets)
+    assert clashing and {r.cls for r in classes.collect()} == {r.cls for r in named.filter("cls is not null").collect()}
+    assert classes.count() == len({frozenset(s) for s in _sets(mixed_texts).values() if s})
+    kept = [r.doc_id for r in jaccard_join.one_of_each(docs, bits=2).collect()]
+    assert sorted(kept) == sorted(i for i, (n, c) in want.items() if c == i)
+
+
 def test_count_tree_loses_no_pair():
     r = np.random.default_rng(2)
     points = r.integers(0, 6, (150, 16))
