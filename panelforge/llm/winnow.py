@@ -25,20 +25,26 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _joined(a: Column, b: Column, size_a: int, size_b: int) -> Column:
-    """Hashes of the runs of size_a + size_b, given those of both sizes at every place; NULL where the text ends before."""
+def _joined(a: Column, b: Column, at: Column, size_a: int, size_b: int) -> Column:
+    """Hash of the run of size_a + size_b at place `at`, given those of both sizes at every place; NULL where the text ends before."""
     factor = F.lit(pow(BASE, size_b, MASK + 1))
-    return F.zip_with(a, F.slice(b, size_a + 1, F.greatest(F.size(b) - size_a, F.lit(0))), lambda x, y: (x * factor + y).bitwiseAND(F.lit(MASK)))
+    return (F.get(a, at) * factor + F.get(b, at + size_a)).bitwiseAND(F.lit(MASK))
 
 
 def _rolled(x: Column, k: int, use) -> Column:
-    """use(rolling hashes of the runs of k symbols) for the symbol values x; the last k - 1 are NULL."""
+    """use(at -> rolling hash of the run of k symbols at that place) for the symbol values x. Neighbours are read by
+    their place, so no pass copies a shifted array, and the last doubling is part of the caller's pass."""
     if k == 1:
-        return use(x)
+        return use(lambda at: F.get(x, at))
 
-    def doubled(y: Column) -> Column:
-        both = _joined(y, y, k // 2, k // 2)
-        return _let(_joined(both, x, k - 1, 1) if k % 2 else both, use)
+    def doubled(half) -> Column:
+        def from_halves(y: Column) -> Column:
+            both = lambda at: _joined(y, y, at, k // 2, k // 2)
+            if k % 2 == 0:
+                return use(both)
+            return _let(F.transform(x, lambda _, at: both(at)), lambda z: use(lambda at: _joined(z, x, at, k - 1, 1)))
+
+        return from_halves(x) if k // 2 == 1 else _let(F.transform(x, lambda _, at: half(at)), from_halves)
 
     return _rolled(x, k // 2, doubled)
 
@@ -50,7 +56,7 @@ def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
     """
     symbol = lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4))).bitwiseAND(F.lit(MASK))
     symbols = F.transform(F.sequence(start, end + (k - 2)), symbol)
-    packed = lambda hashes: F.transform(F.slice(hashes, F.lit(1), end - start), lambda h, j: F.shiftleft(h, 31).bitwiseOR(F.lit(LAST) - start - j))
+    packed = lambda hash_at: F.transform(F.sequence(F.lit(0), end - start - 1), lambda at: F.shiftleft(hash_at(at), 31).bitwiseOR(F.lit(LAST) - start - at))
     none = F.array().cast("array<bigint>")
     short = F.array((F.lit(LAST) - start).cast("bigint"))
     whole = F.floor(F.octet_length(raw) / 4) >= end + (k - 1)
@@ -60,15 +66,16 @@ def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
 def _window_minima(keys: Column, w: int) -> Column:
     """Minimum of each w neighbours (w a power of two); of all of them if they are fewer."""
 
-    def pairwise(step: int):
-        return lambda a: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0))), lambda p, q: F.least(p, q))
-
     def over(x: Column) -> Column:
-        y, width = x, 1
-        while width < w:
-            y = _let(y, pairwise(width))
-            width *= 2
-        return F.when(F.size(x) >= w, F.slice(y, F.lit(1), F.greatest(F.size(x) - (w - 1), F.lit(0)))).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(F.array().cast("array<bigint>"))
+        def halved(y: Column, width: int) -> Column:
+            """Minima of w neighbours, given those of `width` in y; the last pass makes only the places of whole windows."""
+            least = lambda at: F.least(F.get(y, at), F.get(y, at + width))
+            if width * 2 == w:
+                return F.transform(F.sequence(F.lit(0), F.size(x) - w), least)
+            return _let(F.transform(y, lambda v, at: F.least(v, F.get(y, at + width))), lambda z: halved(z, width * 2))
+
+        whole = halved(x, 1) if w > 1 else x
+        return F.when((F.size(x) >= w) & (F.size(x) > 0), whole).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(F.array().cast("array<bigint>"))
 
     return _let(keys, over)
 
@@ -85,15 +92,15 @@ def winnowed(text: Column, k: int, w: int) -> tuple[Column, Column]:
     return keys, _window_minima(keys, w)
 
 
-def hashes(minima: Column, text: Column, k: int) -> Column:
-    """The 64-bit hashes of the kept grams of `text` in text order, each position once."""
+def hashes(kept: Column, text: Column, k: int) -> Column:
+    """The 64-bit hashes of the kept grams of `text` in text order; `kept` has each window minimum once."""
     gram = lambda raw: lambda x: F.xxhash64(F.substring(raw, (F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("int") * 4 + 1, F.lit(4 * k)))
-    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda raw: F.transform(F.array_distinct(minima), gram(raw)))
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda raw: F.transform(kept, gram(raw)))
 
 
-def positions(minima: Column) -> Column:
+def positions(kept: Column) -> Column:
     """The positions of the kept hashes, in the same order."""
-    return F.transform(F.array_distinct(minima), lambda x: F.lit(LAST) - x.bitwiseAND(F.lit(LAST)))
+    return F.transform(kept, lambda x: F.lit(LAST) - x.bitwiseAND(F.lit(LAST)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,7 +115,7 @@ def fingerprints(docs: DataFrame, k: int = 8, w: int = 16, id_col: str = "doc_id
     is one gram, one of fewer than w grams is one window. Repeated rows each have theirs, a null id is carried along, an
     empty table gives no rows, other columns are ignored."""
     part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    part = part.withColumn("m", winnowed(F.col("_text"), k, w)[1])
+    part = part.withColumn("m", F.array_distinct(winnowed(F.col("_text"), k, w)[1]))
     return part.select("doc_id", hashes(F.col("m"), F.col("_text"), k).alias("hashes"), positions(F.col("m")).alias("positions"))
 
 
@@ -165,8 +172,9 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     own = lined.join(first, "bucket", "left").withColumn("_after", F.coalesce("_next", "_first"))
     own = own.withColumn("n", F.length("text")).withColumn("_keys", keys)
     own = own.withColumn("_min", _window_minima(F.col("_keys"), w))
-    own = own.withColumn("_hashes", hashes(F.col("_min"), F.col("text"), k))
-    own = own.withColumn("_places", positions(F.col("_min")))
+    own = own.withColumn("_kept", F.array_distinct("_min"))
+    own = own.withColumn("_hashes", hashes(F.col("_kept"), F.col("text"), k))
+    own = own.withColumn("_places", positions(F.col("_kept")))
     half = F.floor(F.col("n") / 2).cast("int")
     own = own.withColumn("_keep", F.col("n") - half).withColumn("_new", F.expr("substring(_after, 1, n - _keep)"))
     own = own.withColumn("_n2", F.col("_keep") + F.length("_new"))
@@ -180,8 +188,8 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     # fewer than w grams are a window of their own only where no whole window lies in the kept part
     rest = _let(tail, lambda x: F.when((F.col("_m") == 0) | (F.size(x) >= w), _window_minima(x, w)).otherwise(F.array().cast("array<bigint>")))
     own = own.withColumn("_min2", F.concat(F.slice("_min", F.lit(1), F.col("_m")), rest))
-    own = own.withColumn("_hashes2", hashes(F.col("_min2"), F.col("_edited"), k))
-    nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(winnowed(F.col("_after"), k, w)[1], F.col("_after"), k)))
+    own = own.withColumn("_hashes2", hashes(F.array_distinct("_min2"), F.col("_edited"), k))
+    nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(F.array_distinct(winnowed(F.col("_after"), k, w)[1]), F.col("_after"), k)))
     own = own.withColumn("_hashes3", nxt)
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return own.select(
