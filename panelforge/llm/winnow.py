@@ -54,8 +54,8 @@ def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
 
     A text shorter than k is one gram; as there is nothing to choose from, it needs no hash here.
     """
-    symbol = lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4))).bitwiseAND(F.lit(MASK))
-    symbols = F.transform(F.sequence(start, end + (k - 2)), symbol)
+    symbol = lambda at: F.xxhash64(F.substring(raw, at, F.lit(4))).bitwiseAND(F.lit(MASK))
+    symbols = F.transform(F.sequence(start * 4 + 1, (end + (k - 2)) * 4 + 1, F.lit(4)), symbol)
     packed = lambda hash_at: F.transform(F.sequence(F.lit(0), end - start - 1), lambda at: F.shiftleft(hash_at(at), 31).bitwiseOR(F.lit(LAST) - start - at))
     none = F.array().cast("array<bigint>")
     short = F.array((F.lit(LAST) - start).cast("bigint"))
@@ -85,11 +85,11 @@ def _grams(n: Column, k: int) -> Column:
     return F.when(n >= k, n - (k - 1)).otherwise(F.least(n, F.lit(1)))
 
 
-def winnowed(text: Column, k: int, w: int) -> tuple[Column, Column]:
-    """(all packed k-grams, window minima) of a text; null counts as empty."""
+def kept_grams(text: Column, k: int, w: int) -> Column:
+    """The packed window minima of a text in text order, each once; null counts as empty."""
     n = F.coalesce(F.length(text), F.lit(0))
     keys = _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), lambda raw: _keys(raw, F.lit(0), _grams(n, k), k))
-    return keys, _window_minima(keys, w)
+    return F.array_distinct(_window_minima(keys, w))
 
 
 def hashes(kept: Column, text: Column, k: int) -> Column:
@@ -103,6 +103,17 @@ def positions(kept: Column) -> Column:
     return F.transform(kept, lambda x: F.lit(LAST) - x.bitwiseAND(F.lit(LAST)))
 
 
+def _of_first_windows(kept: Column, count: Column, w: int) -> Column:
+    """Those of the kept grams of a text (each once, in text order) that its first `count` windows of w grams keep.
+
+    The minimum of the last of these windows is the least kept gram inside it, and the kept grams before that one belong
+    to earlier windows, as the places of minima never go back.
+    """
+    place = lambda x: x.bitwiseAND(F.lit(LAST))  # noqa: E731  LAST minus the position
+    last = _let(F.lit(LAST) - count + 1, lambda top: F.array_min(F.filter(kept, lambda x: place(x).between(top - (w - 1), top))))
+    return F.when(count < 1, F.array().cast("array<bigint>")).otherwise(_let(place(last), lambda low: F.filter(kept, lambda x: place(x) >= low)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two lists of hashes; 1 if both are empty."""
     both = F.size(F.array_intersect(a, b)).cast("double")
@@ -115,7 +126,7 @@ def fingerprints(docs: DataFrame, k: int = 8, w: int = 16, id_col: str = "doc_id
     is one gram, one of fewer than w grams is one window. Repeated rows each have theirs, a null id is carried along, an
     empty table gives no rows, other columns are ignored."""
     part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    part = part.withColumn("m", F.array_distinct(winnowed(F.col("_text"), k, w)[1]))
+    part = part.withColumn("m", kept_grams(F.col("_text"), k, w))
     return part.select("doc_id", hashes(F.col("m"), F.col("_text"), k).alias("hashes"), positions(F.col("m")).alias("positions"))
 
 
@@ -159,8 +170,8 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     edited_fingerprint (hashes joined by commas), near_edited, near_next, n_kept, positions (of the kept hashes).
 
     Null texts count as empty, null ids come last; rows with the same id follow in the order of their texts' hashes. A
-    single document is next to itself. Texts are shuffled once; grams and windows of the half that an edited text
-    shares with its document are computed once.
+    single document is next to itself. Texts are shuffled once; windows of an edited text that lie in either of its
+    halves are taken from the two documents.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt, follow = _bucketed(base, rows_per_bucket)
@@ -168,29 +179,27 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
     lined = dealt.withColumn("_next", F.lead("text").over(order)).withColumn("_row", F.row_number().over(order))
     first = lined.filter("_row = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("_first"))
     first = first.join(follow, "next_bucket").select("bucket", "_first")
-    keys, minima = winnowed(F.col("text"), k, w)
     own = lined.join(first, "bucket", "left").withColumn("_after", F.coalesce("_next", "_first"))
-    own = own.withColumn("n", F.length("text")).withColumn("_keys", keys)
-    own = own.withColumn("_min", _window_minima(F.col("_keys"), w))
-    own = own.withColumn("_kept", F.array_distinct("_min"))
+    own = own.withColumn("n", F.length("text")).withColumn("_kept", kept_grams(F.col("text"), k, w))
     own = own.withColumn("_hashes", hashes(F.col("_kept"), F.col("text"), k))
-    own = own.withColumn("_places", positions(F.col("_kept")))
+    own = own.withColumn("_there", F.lead("_kept").over(order)).withColumn("_hashes3", F.lead("_hashes").over(order))
+    own = own.withColumn("_there", F.when(F.col("_next").isNull(), kept_grams(F.col("_after"), k, w)).otherwise(F.col("_there")))
+    own = own.withColumn("_hashes3", F.when(F.col("_next").isNull(), hashes(F.col("_there"), F.col("_after"), k)).otherwise(F.col("_hashes3")))
     half = F.floor(F.col("n") / 2).cast("int")
     own = own.withColumn("_keep", F.col("n") - half).withColumn("_new", F.expr("substring(_after, 1, n - _keep)"))
-    own = own.withColumn("_n2", F.col("_keep") + F.length("_new"))
-    # grams and windows that lie in the kept part are those of the document itself
-    grams_kept = F.when((F.col("_keep") >= k) & (F.col("n") >= k), F.col("_keep") - (k - 1)).otherwise(F.lit(0))
-    own = own.withColumn("_g", grams_kept).withColumn("_m", F.greatest(F.col("_g") - (w - 1), F.lit(0)))
-    edited = F.concat(F.expr("substring(text, 1, _keep)"), F.col("_new"))
-    own = own.withColumn("_edited", edited)
-    fresh = _let(F.encode("_edited", "UTF-32"), lambda raw: _keys(raw, F.col("_g"), _grams(F.col("_n2"), k), k))
-    tail = F.concat(F.slice("_keys", F.col("_m") + 1, F.col("_g") - F.col("_m")), fresh)
+    own = own.withColumn("_n2", F.col("_keep") + F.length("_new")).withColumn("_edited", F.concat(F.expr("substring(text, 1, _keep)"), F.col("_new")))
+    # windows that lie in the kept part are those of the document itself, windows that lie in the new part are those of
+    # the next document; only grams of the windows between them are hashed anew
+    run = w + k - 2
+    own = own.withColumn("_m", F.when(F.col("n") >= k, F.greatest(F.col("_keep") - run, F.lit(0))).otherwise(F.lit(0)))
+    own = own.withColumn("_m2", F.greatest(F.length("_new") - run, F.lit(0)))
+    end = F.when(F.col("_m2") > 0, F.col("_keep") + (w - 1)).otherwise(_grams(F.col("_n2"), k))
+    between = _let(F.encode("_edited", "UTF-32"), lambda raw: _keys(raw, F.col("_m"), end, k))
     # fewer than w grams are a window of their own only where no whole window lies in the kept part
-    rest = _let(tail, lambda x: F.when((F.col("_m") == 0) | (F.size(x) >= w), _window_minima(x, w)).otherwise(F.array().cast("array<bigint>")))
-    own = own.withColumn("_min2", F.concat(F.slice("_min", F.lit(1), F.col("_m")), rest))
-    own = own.withColumn("_hashes2", hashes(F.array_distinct("_min2"), F.col("_edited"), k))
-    nxt = F.coalesce(F.lead("_hashes").over(order), F.when(F.col("_next").isNull(), hashes(F.array_distinct(winnowed(F.col("_after"), k, w)[1]), F.col("_after"), k)))
-    own = own.withColumn("_hashes3", nxt)
+    rest = _let(between, lambda x: F.when((F.col("_m") == 0) | (F.size(x) >= w), _window_minima(x, w)).otherwise(F.array().cast("array<bigint>")))
+    beyond = F.transform(_of_first_windows(F.col("_there"), F.col("_m2"), w), lambda x: x - F.col("_keep"))
+    own = own.withColumn("_kept2", F.array_distinct(F.concat(_of_first_windows(F.col("_kept"), F.col("_m"), w), rest, beyond)))
+    own = own.withColumn("_hashes2", hashes(F.col("_kept2"), F.col("_edited"), k))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return own.select(
         "doc_id",
@@ -201,5 +210,5 @@ def edit_study(docs: DataFrame, k: int = 8, w: int = 16, rows_per_bucket: int =
         likeness(F.col("_hashes"), F.col("_hashes2")).alias("near_edited"),
         likeness(F.col("_hashes"), F.col("_hashes3")).alias("near_next"),
         F.size("_hashes").cast("long").alias("n_kept"),
-        joined("_places").alias("positions"),
+        F.array_join(positions(F.col("_kept")).cast("array<string>"), ",").alias("positions"),
     )
