@@ -116,6 +116,16 @@ def test_edited_fingerprint_is_that_of_the_edited_text(spark):
     assert got == want
 
 
+def test_edited_fingerprint_with_ties_and_halves_of_all_lengths(spark):
+    """Repeated characters make equal hashes in neighbouring windows; the halves meet at every length around one window."""
+    texts = ["a" * 200, "ab" * 150, "\U0001f600é" * 90, "abc" * 70 + "x" * 60, prose(400)]
+    texts += [c * n for n in range(40, 54) for c in ("a", "ba", "\U0001f600")]
+    edited = [t[: len(t) - len(t) // 2] + texts[i - 1][: len(t) // 2] for i, t in enumerate(texts)]
+    want = {r.doc_id: ",".join(map(str, r.hashes)) for r in winnow.fingerprints(docs_of(spark, edited)).collect()}
+    got = {r.doc_id: r.edited_fingerprint for r in winnow.edit_study(docs_of(spark, texts), rows_per_bucket=16).collect()}
+    assert got == want
+
+
 def _hit(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, ids = set(), set()
