@@ -545,4 +545,4 @@ def test_html_text_is_linear(spark):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_columns(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    assert df.columns[0] in ("doc_id", "page_id") and df.count() > 0
+    assert df.columns[0] in ("doc_id", "page_id", "anchor_id", "item_id") and df.count() > 0
