@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, hard_negatives, hilbert, html_text, jaccard_join, langid, packing, secret_scan, suffix_dedup, token_counts, winnow
+from panelforge.llm import decontam, hard_negatives, hilbert, html_text, jaccard_join, langid, lexical_search, packing, secret_scan, suffix_dedup, token_counts, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), vec % 50 == 0, label=label)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
 }
 # Checked by tests against brute force: the rank in the order, the plan of lengths and the models are beyond SQL.
 ORACLES: dict[str, str] = {
@@ -128,4 +134,19 @@ ORACLES: dict[str, str] = {
         FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
         WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 3
     """,
+    "op12_lexical_search": """
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents
+        ), sizes AS (SELECT doc_id, len(ts)::BIGINT AS n FROM words WHERE len(ts) > 0
+        ), every AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes
+        ), wanted AS (
+            SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL
+        ), postings AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM words) GROUP BY ALL
+        ), weights AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, every GROUP BY t
+        ), scores AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+            FROM wanted JOIN postings USING (t) JOIN weights USING (t) JOIN sizes USING (doc_id), every GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """,
 }
