@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import reports
+from panelforge.operators.order import edges, with_quantiles
+from panelforge.session import stored
 
 HOUR_MS = 3_600_000
 SELL_COLUMNS = {"event_time": "exit_time", "price": "exit_price", "reason": "exit_reason", "fee": "exit_fee", "pnl": "pnl", "return_pct": "return_pct"}
@@ -132,8 +134,8 @@ def score_gap_report(entries: DataFrame, buckets: int = 4) -> DataFrame:
     """Outcomes by quantile bucket of the score gap (from 0; NULL for a missing gap)."""
     from panelforge.functions.expr import quantile_bucket
 
-    edges = entries.agg(F.array_distinct(F.percentile("score_gap", F.array(*[F.lit(k / buckets) for k in range(buckets + 1)]))).alias("_e"))
-    return outcome_summary(entries.join(F.broadcast(edges)).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e"))), ["bucket"])
+    cuts = edges(entries, "score_gap", buckets)
+    return outcome_summary(entries.join(F.broadcast(cuts)).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e"))), ["bucket"])
 
 
 def write_reports(found: dict[str, DataFrame], folder: str, prefix: str) -> list[str]:
@@ -161,11 +163,13 @@ def fold_trade_summary(exits: DataFrame) -> DataFrame:
     """Exits of each fold by reason, mean loss of stopped ones in percent, mean and median hours held (fold ends left out)."""
     by = lambda r: F.count_if(F.col("exit_reason") == r)
     held = F.when(F.col("exit_reason") != "fold_end", F.col("holding_hours"))
-    return exits.groupBy("fold").agg(
+    exits = stored(exits.withColumn("_held", held), "exits")
+    out = exits.groupBy("fold").agg(
         by("loss_threshold").alias("stop_exits"), by("gain_threshold").alias("tp_exits"), by("rank_decay").alias("rank_decay_exits"),
         F.avg(F.when(F.col("exit_reason") == "loss_threshold", F.col("return_pct") * 100)).alias("avg_stopped_loss_pct"),
-        F.avg(held).alias("mean_holding_hours"), F.percentile(held, F.lit(0.5)).alias("median_holding_hours"),
+        F.avg("_held").alias("mean_holding_hours"),
     )
+    return with_quantiles(out, exits, ["fold"], "_held", {"median_holding_hours": 0.5}, is_stored=True)
 
 
 def walk_forward_aggregate(folds: DataFrame) -> DataFrame:
@@ -177,9 +181,10 @@ def walk_forward_aggregate(folds: DataFrame) -> DataFrame:
     r, d, n = F.col("total_return_pct"), F.col("max_drawdown_pct"), F.col("closed_trades")
     lost, checks = F.sum(F.abs("gross_loss")), F.sum("gate_checks")
     mean = lambda c: F.avg(c)
-    return folds.groupBy("label").agg(
+    folds = stored(folds, "folds")
+    out = folds.groupBy("label").agg(
         F.count("*").alias("folds"), F.count_if(r > 0).alias("positive_return_folds"), F.count_if(n > 0).alias("traded_folds"), F.count_if(n == 0).alias("flat_folds"),
-        mean(r).alias("mean_return_pct"), mean(F.when(n > 0, r)).alias("mean_return_when_trading_pct"), F.percentile(r, F.lit(0.5)).alias("median_return_pct"),
+        mean(r).alias("mean_return_pct"), mean(F.when(n > 0, r)).alias("mean_return_when_trading_pct"),
         F.stddev_pop(r).alias("std_return_pct"), F.min(r).alias("worst_return_pct"), F.max(r).alias("best_return_pct"),
         mean(d).alias("mean_max_drawdown_pct"), F.max(d).alias("worst_max_drawdown_pct"), mean("sharpe").alias("mean_sharpe"), mean("sortino").alias("mean_sortino"),
         mean(F.when(d != 0, r / d)).alias("mean_return_to_drawdown"), mean(n).alias("mean_closed_trades"), mean("win_rate").alias("mean_win_rate"),
@@ -187,6 +192,7 @@ def walk_forward_aggregate(folds: DataFrame) -> DataFrame:
         F.sum("gross_profit").alias("total_gross_profit"), (-lost).alias("total_gross_loss"),
         F.when(checks != 0, F.sum("gate_blocked") / checks).otherwise(F.lit(0.0)).alias("gate_block_rate"),
     )
+    return with_quantiles(out, folds, ["label"], "total_return_pct", {"median_return_pct": 0.5}, is_stored=True)
 
 
 def fold_totals(folds: DataFrame, sums: list[str], means: list[str]) -> DataFrame:

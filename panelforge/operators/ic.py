@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expr import pearson, safe_div
+from panelforge.operators.order import tie_ranks, with_quantiles
+from panelforge.session import stored
 
 RANKS = ("average", "min", "max", "first", "dense")
 
@@ -31,11 +33,18 @@ def ranked(x: str, keys: list[str], method: str = "average", tie: tuple[str, ...
 
 
 def coefficients(frame: DataFrame, features: list[str], label: str, by: list[str] | None = None, min_periods: int = 3, method: str = "spearman", rank_method: str = "average") -> DataFrame:
-    """feature, group columns, n, ic: NULL under min_periods complete pairs or with a constant side."""
+    """feature, group columns, n, ic: NULL under min_periods complete pairs or with a constant side.
+
+    Ranks inside groups come from one window a group; pooled average ranks are global places of a range sort.
+    """
     by = by or []
     keys = ["feature", *by]
     pairs = complete_pairs(frame, features, label, by)
-    if method == "spearman":
+    if method == "spearman" and not by and rank_method == "average":  # few groups that grow with the table
+        tie = [c for c in ("pair", "open_time") if c in frame.columns]
+        pairs = complete_pairs(frame, features, label, tie)
+        pairs = tie_ranks(tie_ranks(pairs, ["feature"], "x", tie, "_x"), ["feature"], "y", tie, "_y").select("feature", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    elif method == "spearman":
         pairs = pairs.select(*keys, ranked("x", keys, rank_method).alias("x"), ranked("y", keys, rank_method).alias("y"))
     elif method != "pearson":
         raise ValueError(f"method must be pearson or spearman: {method}")
@@ -47,14 +56,14 @@ def summary(ics: DataFrame, by: list[str]) -> DataFrame:
 
     Coefficients that are zero up to the order of summation count as zero.
     """
-    ics = ics.withColumn("ic", F.round("ic", 9))
-    return ics.groupBy(*by).agg(
+    ics = stored(ics.select(*by, F.round("ic", 9).alias("ic")), "coefficients")
+    out = ics.groupBy(*by).agg(
         F.avg("ic").alias("mean_ic"),
-        F.percentile("ic", F.lit(0.5)).alias("median_ic"),
         F.stddev_samp("ic").alias("std_ic"),
         F.count("ic").alias("periods"),
         F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("positive_rate"),
     )
+    return with_quantiles(out, ics, by, "ic", {"median_ic": 0.5}, is_stored=True)
 
 
 def strongest(ics: DataFrame, n: int) -> DataFrame:

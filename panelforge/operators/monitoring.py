@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expr import safe_div
 from panelforge.operators import ic, reports
+from panelforge.operators.order import edges
 
 SEVERITY = {"ok": 0, "warning": 1, "critical": 2}
 
@@ -86,8 +87,8 @@ def live_score_gaps(first: DataFrame, buckets: int = 4) -> DataFrame:
     """First-ranked rows by quantile bucket of their score gap: observations, intended share, mean gap and breadth."""
     from panelforge.functions.expr import quantile_bucket
 
-    edges = first.agg(F.array_distinct(F.percentile("score_gap", F.array(*[F.lit(k / buckets) for k in range(buckets + 1)]))).alias("_e"))
-    cut = first.join(F.broadcast(edges)).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e")))
+    cuts = edges(first, "score_gap", buckets)
+    cut = first.join(F.broadcast(cuts)).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e")))
     return cut.groupBy("bucket").agg(
         F.count("*").alias("observations"), F.avg(F.when(F.coalesce("intended_entry", F.lit(False)), 1.0).otherwise(0.0)).alias("intended_entry_rate"),
         F.avg("score_gap").alias("mean_score_gap"), F.avg("universe_breadth").alias("mean_universe_breadth"),

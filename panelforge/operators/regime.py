@@ -7,28 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expr import at_time, by_pair, rolling, safe_div
+from panelforge.operators.order import expanding_quantile, numbered, rolling_quantile, with_quantiles
+from panelforge.session import stored
 
 
 def market_stress(frame: DataFrame, metric: str, quantile: float = 0.8, lookback: int = 720, min_history: int = 168, agg: str = "median") -> DataFrame:
-    """One row per time: market_value, threshold (quantile of prior rows only), history, is_stressed.
-
-    The per-time table is small (one row per bar time), so its window has no partition key.
-    """
+    """One row per time: market_value, threshold (quantile of prior rows only), history, is_stressed."""
     if agg not in ("median", "mean"):
         raise ValueError(f"agg must be median or mean: {agg}")
     value = F.percentile(metric, F.lit(0.5)) if agg == "median" else F.avg(metric)
     market = frame.groupBy("open_time").agg(value.alias("market_value"))
-    prior = Window.orderBy("open_time").rowsBetween(-lookback, -1)
-    out = market.withColumn("history", F.count("market_value").over(prior))
-    out = out.withColumn("threshold", F.when(F.col("history") >= min_history, F.percentile("market_value", F.lit(quantile)).over(prior)))
+    out = rolling_quantile(market, "open_time", "market_value", quantile, lookback, "threshold", "history")
+    out = out.withColumn("threshold", F.when(F.col("history") >= min_history, F.col("threshold")))
     return out.withColumn("is_stressed", F.coalesce(F.col("market_value") >= F.col("threshold"), F.lit(False)))
 
 
-def over_time():
-    """All times up to this one. For tables with one row per time only: they have no key to deal by."""
-    return Window.orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def map_market(panel: DataFrame, market: DataFrame) -> DataFrame:
     """Every row of the panel with the market's figures at its time; NULL where the market has none."""
     return panel.join(market, "open_time", "left")
@@ -77,8 +70,7 @@ def with_trailing_gap(features: DataFrame, min_periods: int = 24) -> DataFrame:
 def expanding_gap_median(features: DataFrame, min_periods: int = 24) -> DataFrame:
     """Per time: score_gap and the median of all earlier gaps (NULL under min_periods)."""
     gaps = features.groupBy("open_time").agg(F.max("score_gap").alias("score_gap"))
-    prior = Window.orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
-    return gaps.withColumn("gap_median", F.when(F.count("score_gap").over(prior) >= min_periods, F.percentile("score_gap", F.lit(0.5)).over(prior)))
+    return expanding_quantile(gaps, "open_time", "score_gap", 0.5, min_periods, "gap_median")
 
 
 def scaling(entries: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
@@ -156,13 +148,14 @@ def kmeans(entries: DataFrame, names: list[str], first: list[list[float]], round
 
 def cluster_summary(entries: DataFrame, ret: str = "return_pct", pnl: str = "pnl", min_entries: int = 1, floor: float = 0.0, better: bool = True) -> DataFrame:
     """Size, mean, median, win rate and pnl of each cluster, and whether the gate lets it through."""
+    entries = stored(entries.select("cluster_id", ret, pnl), "clustered")
     out = entries.groupBy("cluster_id").agg(
         F.count("*").alias("entries"),
         F.avg(ret).alias("mean_return"),
-        F.percentile(ret, F.lit(0.5)).alias("median_return"),
         F.avg(F.when(F.col(ret) > 0, 1.0).otherwise(0.0)).alias("win_rate"),
         F.sum(pnl).alias("total_pnl"),
     )
+    out = with_quantiles(out, entries, ["cluster_id"], ret, {"median_return": 0.5}, is_stored=True)
     overall = entries.agg(F.avg(ret).alias("_all"))
     keep = (F.col("entries") >= min_entries) & (F.col("mean_return") >= floor)
     if better:
@@ -177,6 +170,6 @@ def first_centres(spark: SparkSession, entries: DataFrame, names: list[str], ord
     if n < k:
         return []
     picks = np.random.default_rng(seed).choice(n, size=k, replace=False).tolist()
-    numbered = entries.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("_n").isin(picks))
-    rows = {r["_n"]: [(r[c] - m) / s for c, m, s in zip(names, means, stds)] for r in numbered.collect()}
+    drawn = numbered(entries, order, "_n").filter(F.col("_n").isin(picks))
+    rows = {r["_n"]: [(r[c] - m) / s for c, m, s in zip(names, means, stds)] for r in drawn.collect()}
     return [rows[p] for p in picks]

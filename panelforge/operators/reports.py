@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.order import with_quantiles
+from panelforge.session import stored
+
 
 def top_k(frame: DataFrame, score: str, k: int, by: Sequence[str] = ("open_time",)) -> DataFrame:
     """The k best rows of each time by score, ties by pair; rows without a score are never among them."""
@@ -17,10 +20,9 @@ def top_k(frame: DataFrame, score: str, k: int, by: Sequence[str] = ("open_time"
 def return_summary(rows: DataFrame, ret: str, by: list[str]) -> DataFrame:
     """Count, mean, median, hit rate and 5 % and 95 % quantiles of returns."""
     r = F.col(ret)
-    return rows.groupBy(*by).agg(
-        F.count(r).alias("n"), F.avg(r).alias("mean_return"), F.percentile(r, F.lit(0.5)).alias("median_return"),
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.percentile(r, F.lit(0.05)).alias("q05"), F.percentile(r, F.lit(0.95)).alias("q95"),
-    )
+    rows = stored(rows.select(*by, ret), "returns")
+    out = rows.groupBy(*by).agg(F.count(r).alias("n"), F.avg(r).alias("mean_return"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
+    return with_quantiles(out, rows, by, ret, {"median_return": 0.5, "q05": 0.05, "q95": 0.95}, is_stored=True)
 
 
 def policy_variants(frame: DataFrame, momentum: str, risk_rank: str = "micro_risk") -> DataFrame:
@@ -47,19 +49,47 @@ def attribution(trades: DataFrame, by: list[str]) -> DataFrame:
     return trades.groupBy(*by).agg(F.count("*").alias("closed_trades"), F.sum("pnl").alias("pnl"), F.avg("return_pct").alias("mean_return"), won.alias("win_rate"))
 
 
-def prior_event(rows: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, take: list[str]) -> DataFrame:
+def prior_event(rows: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, take: list[str], most: int = 1_000_000) -> DataFrame:
     """As-of join: rows with the values `take` of the latest event of their keys strictly before `at`, else NULL.
 
-    One union and one window by key: both sides are sorted once, and no pair of rows is formed.
+    One union and one window by key: both sides are sorted once, and no pair of rows is formed. A key with more than
+    `most` rows is dealt over blocks of time, cut at approximate quantiles of its times: each block is sorted by itself,
+    and the last event before it is carried in from a table of one row per block. Rows of one key and time stay together.
     """
     value = F.struct(F.col(when).alias("prior_time"), *take)
     left = rows.withColumn("_row", F.struct(*rows.columns)).select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_late"), "_row", F.lit(None).cast(events.select(value.alias("v")).schema["v"].dataType).alias("_event"))
     right = events.filter(F.col(when).isNotNull()).select(*keys, F.col(when).alias("_t"), F.lit(1).alias("_late"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), value.alias("_event"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, -1)
-    both = left.unionByName(right).withColumn("_last", F.last("_event", ignorenulls=True).over(w))
+    both = left.unionByName(right)
+    heavy = both.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    largest = heavy.agg(F.max("_n")).first()[0]
+    if largest is None:
+        w = Window.partitionBy(*keys).orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("_last", F.last("_event", ignorenulls=True).over(w))
+    else:
+        both = _in_blocks(both, heavy, keys, -(-largest // most))
     return both.filter("_row is not null").select("_row.*", "_last.prior_time", *[F.col(f"_last.{c}").alias(f"prior_{c}") for c in take])
 
 
+def _in_blocks(both: DataFrame, heavy: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """The union of prior_event() with `_last`, its heavy keys (few: each has many rows) cut into blocks of time."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    same = F.lit(True)
+    for k, name in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    heavy = heavy.select(*[F.col(k).alias(name) for k, name in zip(keys, names)])
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cuts = stored(both.select(*keys, "_t").join(F.broadcast(heavy), same).groupBy(*names).agg(F.percentile_approx("_t", shares, F.lit(10_000)).alias("_cuts")), "time_cuts")
+    cut = both.join(F.broadcast(cuts), same, "left").withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_t")))))
+    ends = cut.filter("_cuts is not null and _event is not null").groupBy(*keys, "_block").agg(F.max_by("_event", "_t").alias("_end"))
+    every = cuts.select(*names, F.explode(F.sequence(F.lit(0), F.lit(blocks))).alias("_at"))
+    ends = every.join(ends, same & (F.col("_at") == F.col("_block")), "left")
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    carried = stored(ends.select(*names, "_at", before.alias("_carried")), "carried_events")
+    w = Window.partitionBy(*keys, "_block").orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.drop(*names, "_cuts").withColumn("_inside", F.last("_event", ignorenulls=True).over(w))
+    return out.join(F.broadcast(carried), same & (F.col("_block") == F.col("_at")), "left").withColumn("_last", F.coalesce("_inside", "_carried"))
+
+
 def shadow_filters(entries: DataFrame, predicates: dict[str, Column], ret: str) -> DataFrame:
     """How each predicate would have split the entries: predicate, kept, n, mean return, win rate. Unknown counts as not kept."""
     tags = F.array(*[F.struct(F.lit(k).alias("predicate"), F.coalesce(p, F.lit(False)).alias("kept")) for k, p in predicates.items()])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import diagnostics as D
 from panelforge.operators import features as X
 from panelforge.operators import ic, monitoring, regime, reports, ridge
+from panelforge.operators.order import running_sum
 from panelforge.plans import sql
 from panelforge.plans.registry import (
     ALPHAS, CENTRES, END, FOLD_SQL, FOLDS, FRAME, GATE, GATED, LABEL, MOMENTUM, POLICY, SCORED, SPLIT, START, WINDOWS,
@@ -87,7 +88,7 @@ def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     sell = at.select(F.col("_then").alias("event_time"), "pair", F.lit("SELL").alias("side"), F.col("_exit").alias("price"), "quantity", F.lit(0.1).alias("fee"), reason.alias("reason"), F.col("open_time").alias("entry_time"), (F.col("quantity") * (F.col("_exit") - F.col("close"))).alias("pnl"), gain.alias("return_pct"))
     log = stored(buy.unionByName(sell), "trades")
     steps = log.groupBy(F.col("event_time").alias("open_time")).agg(F.sum(F.when(F.col("side") == "BUY", 1).otherwise(-1)).alias("_c"))
-    equity = steps.select("open_time", F.sum("_c").over(regime.over_time()).alias("positions"))
+    equity = running_sum(steps, "open_time", "_c", "positions").select("open_time", "positions")
     return decided, log, equity, bars
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expr import safe_div
 from panelforge.operators import features as X
-from panelforge.operators import ic, regime, reports, ridge, simulate
+from panelforge.operators import ic, order, regime, reports, ridge, simulate
 from panelforge.plans import sql
 from panelforge.session import stored, table
 from panelforge.sources import bars as B
@@ -433,8 +433,7 @@ def score_gap_buckets(spark, sf_dir):
     from panelforge.functions.expr import quantile_bucket
 
     e = _entries(spark, sf_dir)
-    edges = e.agg(F.array_distinct(F.percentile("score_gap", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))).alias("_e"))
-    out = e.join(F.broadcast(edges)).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e")))
+    out = e.join(F.broadcast(order.edges(e, "score_gap", 4))).withColumn("bucket", quantile_bucket(F.col("score_gap"), F.col("_e")))
     return out.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("return_pct"), 6).alias("mean_return"))
 
 
@@ -457,6 +456,14 @@ def asof_prior(spark, sf_dir):
     return reports.prior_event(left, right, ["user_id"], "ts", "ts", ["e2", "v2"]).select("event_id", "prior_e2", F.round("prior_v2", 6).alias("prior_v2"))
 
 
+@query("asof_hot_key", "WITH e AS (SELECT event_id, user_id % 3 AS g, ts FROM events WHERE event_id % 2 = 0), o AS (SELECT user_id % 3 AS g, ts, max(event_id) AS e2 FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT e.event_id, o.e2 AS prior_e2 FROM e ASOF LEFT JOIN o ON o.g = e.g AND o.ts < e.ts")
+def asof_hot_key(spark, sf_dir):
+    """As-of join whose keys each hold a third of the rows, dealt over blocks of time."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("g"))
+    right = e.filter("event_id % 2 = 1").groupBy("g", "ts").agg(F.max("event_id").alias("e2"))
+    return reports.prior_event(e.filter("event_id % 2 = 0"), right, ["g"], "ts", "ts", ["e2"], most=500).select("event_id", "prior_e2")
+
+
 @query("post_exit_returns", f"{ENTRIES} SELECT e.pair, e.open_time, h.horizon, round(b.close / nullif(c.close, 0) - 1, 6) AS post_return FROM entries e JOIN bars c ON c.pair = e.pair AND c.open_time = e.open_time CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS horizon) h LEFT JOIN bars b ON b.pair = e.pair AND b.open_time = e.open_time + h.horizon::BIGINT * {B.WEEK_MS}")
 def post_exit_returns(spark, sf_dir):
     bars = B.weekly_bars(spark, sf_dir).select("pair", "open_time", "close")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "panelforge") -> SparkSession:
@@ -41,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_bytes: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
+    """df, marked for broadcast only if it is counted and small: rows times row_bytes (a bound of a row) under the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.session import table
+from panelforge.operators.order import numbered, quantiles
+from panelforge.session import stored, table
 
 BAR_SCHEMA = T.StructType(
     [T.StructField("pair", T.StringType()), T.StructField("open_time", T.LongType())]
@@ -82,10 +83,11 @@ def common_history(bars: DataFrame) -> DataFrame:
 
 
 def bar_delta(bars: DataFrame) -> DataFrame:
-    """Median gap of the distinct times, in ms; 0 for fewer than two (times are few: one row per bar time)."""
-    times = bars.select("open_time").distinct()
-    gap = F.col("open_time") - F.lag("open_time").over(Window.orderBy("open_time"))
-    return times.select(gap.alias("gap")).agg(F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.0)).alias("delta_ms"))
+    """Median gap of the distinct times, in ms; 0 for fewer than two."""
+    times = stored(numbered(bars.select("open_time").distinct(), ["open_time"], "at"), "times")
+    before = times.select((F.col("at") + 1).alias("at"), F.col("open_time").alias("before"))
+    gaps = times.join(before, "at").select((F.col("open_time") - F.col("before")).alias("gap"))
+    return quantiles(gaps, [], "gap", {"delta_ms": 0.5}).select(F.coalesce("delta_ms", F.lit(0.0)).alias("delta_ms"))
 
 
 def normal_time(x: Column, kind: str) -> Column:
