@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, hard_negatives, hilbert, html_text, jaccard_join, langid, lexical_search, packing, secret_scan, suffix_dedup, token_counts, winnow
+from panelforge.llm import decontam, hard_negatives, hilbert, html_text, jaccard_join, langid, lexical_search, mixing, packing, secret_scan, suffix_dedup, token_counts, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a mix in which sources weigh 1, 2, 3, repeating."""
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_decontamination": op2_decontamination,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical_search": op12_lexical_search,
+    "op13_mixing": op13_mixing,
 }
 # Checked by tests against brute force: the rank in the order, the plan of lengths and the models are beyond SQL.
 ORACLES: dict[str, str] = {
