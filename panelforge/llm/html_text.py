@@ -41,7 +41,7 @@ NEVER_NAMED = frozenset("html body main article".split())  # their classes speak
 NAME = re.compile(r"(/?)([A-Za-z][\w:-]*)")
 SIGN = re.compile(r"[>\"']")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAMING = frozenset(("class", "id", "role"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，؟]")
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
