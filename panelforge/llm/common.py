@@ -61,6 +61,14 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores before it as long as a column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_side(df: DataFrame, most_bytes: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
     """df, marked for broadcast only if it is counted and small: rows times row_bytes under the bound. df should be stored.
 

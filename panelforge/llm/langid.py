@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, held_by, lean, stored
+from panelforge.llm.common import bounded_batches, free_name, held_by, lean, stored
 
 ORDER = 4
 SPACE = 32
@@ -334,7 +334,8 @@ def predict(docs: DataFrame, model: Model | Tables | None, text_col: str = "text
             yield pd.DataFrame(out, columns=ADDED)
 
     said = F.pandas_udf(lean(score, "langid"), ADDED_TYPES)
-    return docs.select(*columns, said(F.col(text_col).cast("string")).alias("_said")).select(*columns, "_said.*")
+    held_as = free_name("_said", docs.columns)
+    return docs.select(*columns, said(F.col(text_col).cast("string")).alias(held_as)).select(*columns, f"{held_as}.*")
 
 
 def _predict_by_tables(docs: DataFrame, columns: list[str], model: Tables, text_col: str, block_bits: int = 10) -> DataFrame:

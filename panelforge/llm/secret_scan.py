@@ -1,7 +1,7 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are runs of eight or more key-like characters that have a digit, a known prefix, upper case after their first
-character beside lower case, or sixteen capitals in a row; and whatever is assigned to a secret word (after = or :), of
+Candidates are runs of eight or more key-like characters that have a digit, a known prefix, upper case after lower case,
+or sixteen capitals in a row; and whatever is assigned to a secret word (after = or :), of
 six or more characters of any kind, up to the closing quote or else to the next space. Plain words that nothing is
 assigned to are none. A forest over a candidate's length, its character transitions, how much of it dictionary words
 cover, the path it was found under and the words beside it tells secrets from placeholders, checksums, numbers, versions
@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, lean
+from panelforge.llm.common import bounded_batches, free_name, lean
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{8,}+")
-KEY_LIKE = re.compile(r"[0-9]|(?=.*[a-z]).+[A-Z]|[A-Z]{16}", re.S)
+DIGIT, LOWER, CAPITALS = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]{16}")
 WORD = re.compile(r"[A-Za-z]{2,}")
 NEAR = 32  # characters of context on either side
 
@@ -67,13 +67,21 @@ def _bigrams() -> np.ndarray:
 
 
 _BIGRAM = _bigrams()
+_STARTS = frozenset(w[:3] for w in DICTIONARY)
+
+
+def key_like(raw: str) -> bool:
+    """Whether a run has a digit, upper case after lower case, or sixteen capitals in a row. One pass for each."""
+    first = LOWER.search(raw)
+    later = raw[first.end() :] if first else ""
+    return bool(DIGIT.search(raw)) or later != later.lower() or bool(CAPITALS.search(raw))
 
 
 def _coverage(low: str) -> float:
     """The share of characters inside the longest dictionary words found from left to right."""
     at, covered = 0, 0
     while at < len(low):
-        size = next((n for n in range(min(11, len(low) - at), 2, -1) if low[at : at + n] in DICTIONARY), 0)
+        size = next((n for n in range(min(11, len(low) - at), 2, -1) if low[at : at + n] in DICTIONARY), 0) if low[at : at + 3] in _STARTS else 0
         covered += size
         at += size or 1
     return covered / len(low)
@@ -121,7 +129,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         name, sign, value = raw.partition("=")
         if sign and value.strip("=") and WORD.fullmatch(name.replace("_", "").replace("-", "")):
             start, raw = start + len(name) + 1, value
-        if len(raw) >= 8 and (KEY_LIKE.search(raw) or KNOWN.search(raw)):
+        if len(raw) >= 8 and (key_like(raw) or KNOWN.search(raw)):
             found[start, end] = raw
     for m in ASSIGNED.finditer(text):
         start, end = m.span(m.lastindex)
@@ -141,12 +149,12 @@ def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
     pick = lambda x: x[int(r.integers(len(x)))]
     run = lambda chars, n: "".join(chars[i] for i in r.integers(0, len(chars), n))
     alnum, hexes, upper = string.ascii_letters + string.digits, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    words, plain = sorted(DICTIONARY), ["the", "of", "und", "que", "les", "with", "from", "erheit", "ción", "tion", "then", "an"]
+    words, plain = sorted(DICTIONARY), ["the", "of", "und", "que", "les", "with", "from", "nicht", "dans", "para", "then", "an"]
     prose = lambda: " ".join(pick(plain) for _ in range(4))
     out = []
     for k in range(rows):
         secret = k % 2
-        path = pick(["src1", "app/settings.py", "deploy/env.sh", "notes.txt", "web/main.js", ""] if secret or r.random() < 0.7 else ["tests/test_login.py", "docs/example.md", "package.lock", "fixtures/sample.json"])
+        path = pick(["src/main.py", "app/settings.py", "deploy/env.sh", "notes.txt", "web/main.js", ""] if secret or r.random() < 0.7 else ["tests/test_login.py", "docs/example.md", "package.lock", "fixtures/sample.json"])
         before, after = prose() + " ", " " + prose()
         if secret:
             form = int(r.integers(9))
@@ -176,14 +184,18 @@ def labelled_findings(rows: int = 4_000, seed: int = 11) -> pd.DataFrame:
                 lambda: pick(["x", "X", "0"]) * int(r.integers(8, 24)) + "1",
                 lambda: pick(words) + "/" + pick(words) + "/" + pick(words) + run(string.digits, 2),
                 lambda: pick(words) + "-" + str(r.integers(1, 9)) + "-" + str(r.integers(1, 99)) + "-" + pick(words),
-                lambda: "".join(pick(plain[:3] + plain[5:]).replace("ó", "o") for _ in range(int(r.integers(3, 7)))) + run(string.digits, int(r.integers(1, 3))),
+                lambda: "".join(pick(plain) for _ in range(int(r.integers(3, 7)))) + run(string.digits, int(r.integers(1, 3))),
                 lambda: pick(words) + pick(words).title() + pick(["", pick(words).title()]),
                 lambda: pick(["required", "optional", "missing", "invalid", "expired", "unknown", "nothing"]) if r.random() < 0.5 else pick(words) + pick(["_", "-", ""]) + pick(words),
                 lambda: " ".join(pick(words + plain) for _ in range(int(r.integers(2, 7)))),
+                lambda: "".join(pick(words + plain)[: int(r.integers(3, 9))] for _ in range(12))[: int(r.integers(16, 28))].upper(),
+                lambda: (lambda w: w[: len(w) // 2].upper() + w[len(w) // 2 :])("".join(pick(words + plain) for _ in range(int(r.integers(3, 5))))),
             ]
             form = int(r.integers(len(value)))
             value = value[form]()
-            if form == 5 or r.random() < 0.3:
+            if form in (13, 14):  # capitals in running text, with nothing assigned
+                pass
+            elif form == 5 or r.random() < 0.3:
                 before = f"{before}{pick(sorted(HARMLESS_WORDS))}{pick(['=', ' = ', ': ', ' '])}"
             elif form in (11, 12) or (form in (0, 1, 6, 10) and r.random() < 0.6):
                 quote = pick(["\""] if " " in value else ["", "\""])
@@ -270,7 +282,7 @@ def scanned(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str =
     """docs with n_candidates, n_secrets, secrets (start, end in code points, probability; in order) and redacted.
 
     `redacted` is the text with each secret replaced by `mask`. A null text has no candidates and stays null, an empty
-    one stays empty; a null path has no words. Whole texts are read. Columns of docs with these names are replaced;
+    one stays empty; a null path has no words. An empty table gives no rows. Whole texts are read. Columns of docs with these names are replaced;
     repeated rows are handled one by one.
     """
     added = ["n_candidates", "n_secrets", "secrets", "redacted"]
@@ -293,7 +305,8 @@ def scanned(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str =
     bounded_batches(docs.sparkSession)
     said = F.pandas_udf(lean(read, "secret_scan"), "n_candidates long, n_secrets long, secrets array<struct<start: long, end: long, probability: double>>, redacted string")
     names = [c for c in docs.columns if c not in added]
-    return docs.select(*names, said(F.col(text_col).cast("string"), path).alias("_said")).select(*names, "_said.*")
+    held_as = free_name("_said", docs.columns)
+    return docs.select(*names, said(F.col(text_col).cast("string"), path).alias(held_as)).select(*names, f"{held_as}.*")
 
 
 def redacted(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text", path_col: str = "source") -> DataFrame:

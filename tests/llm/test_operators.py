@@ -542,6 +542,42 @@ def test_html_text_is_linear(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and out.first().text == "Long enough text, here." and html_text.extracted(odd.limit(0)).count() == 0
 
 
+def test_long_runs_are_linear():
+    import time
+
+    n = 1_000_000
+    pages = ["<p " + "a" * n + ">", "<p " + "a=" * (n // 2) + ">", "<p a" + " " * n + ">", "<p " + 'a="' * (n // 3) + ">"]
+    runs = ["a" * n, "-" * n, "A" * n, "aB" * (n // 2), "a1" * (n // 2), "word=" * (n // 5), 'token="' + "x" * n]
+    for text, read in [(p, html_text.content) for p in pages] + [(r, lambda t: [secret_scan.features(c, "", "", "") for _, _, c in secret_scan.candidates(t)]) for r in runs]:
+        began = time.time()
+        read(text)
+        assert time.time() - began < 2, text[:10]
+    assert html_text.content('<div CLASS = "nav"><p>Gone, all of it.</p></div><div><p class=x id="y" role=\'z\'>Kept text, and more of it.</p></div>') == "Kept text, and more of it."
+
+
+def test_what_is_key_like():
+    assert all(map(secret_scan.key_like, ["abcdefg1", "abcdEfgh", "xYzxYzxYz", "A" * 16]))
+    assert not any(map(secret_scan.key_like, ["SSgeheit", "ABCDefgh", "straße", "A" * 15, "-" * 40, "abcdefgh"]))
+
+
+def test_forest_on_kinds_it_never_saw(spark):
+    """Capitals in prose stay, findings of other shapes are found."""
+    forest = secret_scan.train(spark)
+    prose = "Die SSchheit und LAAITIONELLEELLE, THEQUICKBROWNFOXJUMPS und UNVERHÄLTNISMÄSSIGKEITEN des iPhoneHandbuchs."
+    assert secret_scan.scan(prose, "src1", forest)[1] == []
+    texts = ['token = "%s"' % ("0f" * 20), 'API_KEY: "Zq8-Lm2-Xw7-Rt4-Bn9"', "password = 'tr0ub4dor&3xyz!'", "client_secret=GOCSPX-a8B7c6D5e4F3g2H1", 'auth_token: "dG9rZW4tdmFsdWUtMTIzNDU2Nzg5"']
+    found = [bool(secret_scan.scan(f"see this: {t} and go on", "app/x.py", forest)[1]) for t in texts]
+    assert sum(found) >= 4, found
+
+
+def test_added_columns_clash_with_nothing(spark):
+    odd = spark.createDataFrame([(1, "Ein Satz.", "s", "x", "y")], "doc_id long, text string, source string, _said string, __said string")
+    for empty in (False, True):
+        rows = odd.limit(0) if empty else odd
+        assert secret_scan.scanned(rows, secret_scan.Forest([], [], [], [], [])).count() == (0 if empty else 1)
+        assert langid.predict(rows, None).select("_said", "__said", "lang_pred").count() == (0 if empty else 1)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_columns(spark, name):
     df = registry.QUERIES[name](spark, SF)
