@@ -83,11 +83,16 @@ def erf(x: Column) -> Column:
     return F.when(y <= 0.46875, x * _ratio(ERF_SMALL, square)).otherwise(F.signum(x) * beyond)
 
 
+def varied(x: Column) -> Column:
+    """Whether a group has two distinct values at least (aggregate expression; extremes instead of a set of values)."""
+    return F.coalesce(F.min(x) < F.max(x), F.lit(False))
+
+
 def pearson(x: str, y: str) -> Column:
-    """Grouped Pearson correlation of complete pairs, NULL for a constant side (aggregate expression)."""
+    """Grouped Pearson correlation of complete pairs, NULL for a side without two distinct values (aggregate expression)."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    return F.when(varied(a) & varied(b), safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))
 
 
 def quantile_bucket(x: Column, edges: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import numpy as np
 from dateutil.relativedelta import relativedelta
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.ic import coefficients
@@ -117,21 +116,91 @@ def normal_sums(rows: DataFrame, x: list[str], y: str, by: list[str]) -> DataFra
     return whole.groupBy(*by).agg(*sums, *[F.sum(F.col(a) * F.col(y)).alias(f"xy_{i}") for i, a in enumerate(x)], F.count("*").alias("n"))
 
 
-def solve(sums: DataFrame, k: int, alphas: list[float], by: list[str]) -> list[tuple]:
-    """(group..., alpha, n, beta list): (X'X + alpha I)^+ X'y of each group. Groups are folds: a handful of small rows."""
-    out = []
-    for r in sums.orderBy(*by).collect():
-        xx = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        xy = np.array([r[f"xy_{i}"] for i in range(k)])
-        out += [(*[r[c] for c in by], float(a), r["n"], (np.linalg.pinv(xx + a * np.eye(k)) @ xy).tolist()) for a in alphas]
-    return out
+def _det2(a: Column, b: Column, c: Column) -> Column:
+    """Determinant of the symmetric [[a, b], [b, c]]."""
+    return a * c - b * b
+
+
+def pseudo_solved(m: list[list[Column]], v: list[Column], zero: float = 1e-14) -> list[Column]:
+    """M^+ v for a symmetric M without negative eigenvalues, of one to three rows, as column expressions.
+
+    Where a determinant is under `zero` of the trace's power, M counts as singular: of rank 1 it has the pseudo-inverse
+    M / t^2, and of rank 2 among three rows M^+ = ((t^2 - s) M - t M^2) / s^2, with t the trace and s the sum of the
+    principal minors of two rows (by Cayley-Hamilton). A zero matrix gives zeros.
+    """
+    k = len(v)
+    if not 1 <= k <= 3:
+        raise ValueError(f"one to three terms are solved in the plan: {k}")
+    times = lambda x, w: [sum((x[i][j] * w[j] for j in range(1, k)), x[i][0] * w[0]) for i in range(k)]
+    t = sum((m[i][i] for i in range(1, k)), m[0][0])
+    mv = times(m, v)
+    flat = [F.when(t > 0, x / (t * t)).otherwise(0.0) for x in mv]
+    if k == 1:
+        return [F.when(t > 0, v[0] / t).otherwise(0.0)]
+    if k == 2:
+        det = _det2(m[0][0], m[0][1], m[1][1])
+        whole = [(m[1][1] * v[0] - m[0][1] * v[1]) / det, (m[0][0] * v[1] - m[0][1] * v[0]) / det]
+        return [F.when(det > zero * t * t, x).otherwise(y) for x, y in zip(whole, flat)]
+    (a, b, c), (_, d, e), (_, _, f) = m
+    adjugate = [[_det2(d, e, f), c * e - b * f, b * e - c * d], [c * e - b * f, _det2(a, c, f), b * c - a * e], [b * e - c * d, b * c - a * e, _det2(a, b, d)]]
+    det = a * adjugate[0][0] + b * adjugate[0][1] + c * adjugate[0][2]
+    s = adjugate[0][0] + adjugate[1][1] + adjugate[2][2]
+    plane = [((t * t - s) * x - t * y) / (s * s) for x, y in zip(mv, times(m, mv))]
+    whole = [x / det for x in times(adjugate, v)]
+    return [F.when(det > zero * t * t * t, x).when(s > zero * t * t, y).otherwise(z) for x, y, z in zip(whole, plane, flat)]
 
 
 def fit(rows: DataFrame, x: list[str], y: str, alphas: list[float], by: list[str]) -> DataFrame:
-    """Group columns, alpha, n, beta (array): the ridge fits of all groups and alphas."""
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "alpha double, n long, beta array<double>"])
-    return rows.sparkSession.createDataFrame(solve(normal_sums(rows, x, y, by), len(x), alphas, by), schema)
+    """Group columns, alpha, n, beta (array): (X'X + alpha I)^+ X'y of all groups and alphas, inside the plan."""
+    sums = normal_sums(rows, x, y, by).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    at = range(len(x))
+    m = [[F.col(f"xx_{min(i, j)}_{max(i, j)}") + (F.col("alpha") if i == j else F.lit(0.0)) for j in at] for i in at]
+    return sums.select(*by, "alpha", "n", F.array(*pseudo_solved(m, [F.col(f"xy_{i}") for i in at])).alias("beta"))
+
+
+def fit_models(rows: DataFrame, y: str, alphas: list[float], by: list[str], models: dict[str, list[str]] = MODELS) -> DataFrame:
+    """Group columns, model, alpha, n, beta: the fits of all models from one aggregate over the rows.
+
+    Each model takes the rows that have all of its own terms. Sums that no model shares are kept apart by model.
+    """
+    sums, parts = [], []
+    for name, x in models.items():
+        whole = F.col(y).isNotNull()
+        for c in x:
+            whole = whole & F.col(c).isNotNull()
+        total = lambda v, w=whole: F.sum(F.when(w, v))
+        at = range(len(x))
+        sums += [total(F.col(x[i]) * F.col(x[j])).alias(f"{name}_xx_{i}_{j}") for i in at for j in at if i <= j]
+        sums += [total(F.col(x[i]) * F.col(y)).alias(f"{name}_xy_{i}") for i in at] + [F.count_if(whole).alias(f"{name}_n")]
+        m = [[F.col(f"{name}_xx_{min(i, j)}_{max(i, j)}") + (F.col("alpha") if i == j else F.lit(0.0)) for j in at] for i in at]
+        beta = F.array(*pseudo_solved(m, [F.col(f"{name}_xy_{i}") for i in at]))
+        parts.append(F.struct(F.lit(name).alias("model"), F.col(f"{name}_n").alias("n"), beta.alias("beta")))
+    fits = rows.groupBy(*by).agg(*sums).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    return fits.select(*by, "alpha", F.explode(F.array(*parts)).alias("_f")).select(*by, "_f.model", "alpha", "_f.n", "_f.beta").filter("n > 0")
+
+
+def score_models(rows: DataFrame, betas: DataFrame, by: list[str], models: dict[str, list[str]] = MODELS) -> DataFrame:
+    """rows once per model and alpha of their group, with model, alpha and ridge_score (NULL where a term is missing).
+
+    The coefficients of a group are one row of a few structs, so rows meet them in one keyed join.
+    """
+    held = betas.groupBy(*by).agg(F.collect_list(F.struct("model", "alpha", "beta")).alias("_b"))  # models times alphas a group
+
+    def score(b: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for name, x in models.items():
+            out = F.when(b["model"] == name, sum((F.col(c) * b["beta"][i] for i, c in enumerate(x)), F.lit(0.0))).otherwise(out)
+        return F.struct(b["model"].alias("model"), b["alpha"].alias("alpha"), out.alias("ridge_score"))
+
+    told = rows.join(F.broadcast(held), by).withColumn("_s", F.explode(F.transform("_b", score)))
+    return told.select(*rows.columns, "_s.*")
+
+
+def choose_models(train: DataFrame, betas: DataFrame, y: str, by: list[str], min_assets: int, models: dict[str, list[str]] = MODELS) -> DataFrame:
+    """The coefficients of each group and model with the alpha chosen as select_alpha() does: with mean_ic and hit_rate."""
+    ics = coefficients(score_models(train, betas, by, models), ["ridge_score"], y, [*by, "model", "alpha", "open_time"], min_assets)
+    best = _best_alpha(ics, [*by, "model"])
+    return betas.join(F.broadcast(best), [*by, "model", "alpha"])  # one row a group and model
 
 
 def scored(rows: DataFrame, betas: DataFrame, x: list[str], by: list[str]) -> DataFrame:
@@ -143,6 +212,10 @@ def scored(rows: DataFrame, betas: DataFrame, x: list[str], by: list[str]) -> Da
 def select_alpha(train: DataFrame, betas: DataFrame, x: list[str], y: str, by: list[str], min_assets: int) -> DataFrame:
     """The alpha of each group with the best mean rank IC per time, then hit rate, then the smallest alpha."""
     ics = coefficients(scored(train, betas, x, by), ["ridge_score"], y, [*by, "alpha", "open_time"], min_assets)
+    return _best_alpha(ics, by)
+
+
+def _best_alpha(ics: DataFrame, by: list[str]) -> DataFrame:
     means = ics.groupBy(*by, "alpha").agg(F.avg("ic").alias("mean_ic"), F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
     w = Window.partitionBy(*by).orderBy(F.round("mean_ic", 12).desc_nulls_last(), F.col("hit_rate").desc_nulls_last(), "alpha")
     return means.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -17,7 +17,7 @@ from panelforge.operators import ic, monitoring, regime, reports, ridge
 from panelforge.operators.order import running_sum
 from panelforge.plans import sql
 from panelforge.plans.registry import (
-    ALPHAS, CENTRES, END, FOLD_SQL, FOLDS, FRAME, GATE, GATED, LABEL, MOMENTUM, POLICY, SCORED, SPLIT, START, WINDOWS,
+    ALPHAS, CENTRES, END, FOLD_SQL, FOLDS, FRAME, GATE, GATED, KMEANS, LABEL, LLOYD_STEPS, MOMENTUM, POLICY, SCORED, SPLIT, START, WINDOWS,
     _decision, _entries, _folds, _ms, _policies, frame, query, r6, s6, scored,
 )
 from panelforge.session import stored, table
@@ -75,9 +75,8 @@ def _decided(spark, sf_dir) -> DataFrame:
     return stored(regime.with_trailing_gap(_decision(spark, sf_dir)), "decided")
 
 
-def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(decision features, trade log, equity, bars)."""
-    decided, bars = _decided(spark, sf_dir), stored(B.weekly_bars(spark, sf_dir).select("pair", "open_time", "close"), "bars")
+def trade_log(decided: DataFrame, bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trade log, equity) of the rule above: the first three ranks of each time, sold one to three weeks later."""
     buys = decided.filter("entry_rank <= 3 and close > 0").select("pair", "open_time", "close", (100 / F.col("close")).alias("quantity"))
     hold = (1 + F.expr(f"(open_time div {WEEK}) % 3")) * WEEK
     at = buys.withColumn("_then", F.col("open_time") + hold).join(bars.select("pair", F.col("open_time").alias("_then"), F.col("close").alias("_exit")), ["pair", "_then"])
@@ -89,7 +88,13 @@ def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = stored(buy.unionByName(sell), "trades")
     steps = log.groupBy(F.col("event_time").alias("open_time")).agg(F.sum(F.when(F.col("side") == "BUY", 1).otherwise(-1)).alias("_c"))
     equity = running_sum(steps, "open_time", "_c", "positions").select("open_time", "positions")
-    return decided, log, equity, bars
+    return log, equity
+
+
+def _trades(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(decision features, trade log, equity, bars)."""
+    decided, bars = _decided(spark, sf_dir), stored(B.weekly_bars(spark, sf_dir).select("pair", "open_time", "close"), "bars")
+    return decided, *trade_log(decided, bars), bars
 
 
 def _entry_regime(spark, sf_dir) -> DataFrame:
@@ -310,6 +315,8 @@ def ridge_fit_low_roll(spark, sf_dir):
 
 # gates
 
+_again = "list_transform(range(0, 3), lambda k: list_sum(list_transform([z0, z1, z2], lambda z, i: (z - c.c[k + 1][i]) ** 2))) AS far"
+
 
 @query("gate_decide", f"{GATED}, ok AS (SELECT pair, open_time, cluster_id, sqrt(CASE cluster_id WHEN 0 THEN far0 WHEN 1 THEN far1 ELSE far2 END) AS distance FROM gated) SELECT pair, open_time, coalesce(cluster_id <> 1, false) AS allowed, cluster_id, round(distance, 6) AS distance, CASE WHEN cluster_id IS NULL THEN 'missing_features' WHEN cluster_id <> 1 THEN 'allowed_cluster' ELSE 'blocked_cluster' END AS reason FROM (SELECT pair, open_time FROM decision WHERE entry_rank <= 3 AND ret IS NOT NULL) LEFT JOIN ok USING (pair, open_time)")
 def gate_decide(spark, sf_dir):
@@ -319,11 +326,17 @@ def gate_decide(spark, sf_dir):
     return out.select("pair", "open_time", "allowed", "cluster_id", r6("distance"), "reason")
 
 
-@query("gate_train")
+@query(
+    "gate_train",
+    f"""{KMEANS}, kept AS (SELECT c.c AS c, return_pct, {_again} FROM g0, centres_{LLOYD_STEPS} c), near AS (SELECT *, list_position(far, list_min(far)) - 1 AS k FROM kept), o AS (SELECT avg(return_pct) AS m FROM near),
+summed AS (SELECT k, count(*) >= 10 AND avg(return_pct) >= 0 AND avg(return_pct) > any_value(m) AS allowed FROM near, o GROUP BY k)
+SELECT r.k::INTEGER AS cluster_id, coalesce(allowed, false) AS allowed, {', '.join(f'round(c[r.k + 1][{i + 1}], 4) AS {n}' for i, n in enumerate(GATE))} FROM centres_{LLOYD_STEPS}, range(0, 3) r(k) LEFT JOIN summed s ON s.k = r.k""",
+)
 def gate_train(spark, sf_dir):
     gate = regime.train_gate(_entries(spark, sf_dir), GATE, 3, first=CENTRES, min_entries=10)
     rows = [(k, k in gate["allowed"], *c) for k, c in enumerate(gate["centres"])]
-    return spark.createDataFrame(rows, "cluster_id int, allowed boolean, " + ", ".join(f"{c} double" for c in GATE))
+    out = spark.createDataFrame(rows, "cluster_id int, allowed boolean, " + ", ".join(f"{c} double" for c in GATE))
+    return out.select("cluster_id", "allowed", *[F.round(c, 4).alias(c) for c in GATE])
 
 
 # coefficients and policies

@@ -260,18 +260,70 @@ def _os_scores(spark, sf_dir):
     return ridge.scored(ridge.in_folds(panel, _folds(spark), "os"), betas.filter("alpha = 1.0"), x, ["fold"])
 
 
-@query("ridge_scores_latest", f"{OS_SQL} SELECT fold, pair, open_time, {s6('ridge_score')} FROM os QUALIFY open_time = max(open_time) OVER (PARTITION BY fold)")
+TERMS = ridge.terms("momentum_low_roll_interaction")
+
+
+def _model_sql(name: str) -> str:
+    """Fits of one model by Cramer's rule, as fold, model, alpha, beta."""
+    x = ridge.terms(name)
+    k = range(len(x))
+    m = lambda i, j: f"(sum({x[i]} * {x[j]})" + (" + alpha)" if i == j else ")")
+    v = lambda i: f"sum({x[i]} * target_z)"
+
+    def det(c: list[list[str]]) -> str:
+        if len(c) == 1:
+            return c[0][0]
+        minor = lambda j: [[r[i] for i in range(len(c)) if i != j] for r in c[1:]]
+        return "(" + " ".join(f"{'+-'[j % 2]} {c[0][j]} * {det(minor(j))}" for j in range(len(c))) + ")"
+
+    whole = [[m(i, j) for j in k] for i in k]
+    beta = [f"{det([[v(i) if j == at else whole[i][j] for j in k] for i in k])} / {det(whole)}" for at in k]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*x, "target_z"])
+    return f"SELECT fold, '{name}' AS model, alpha, [{', '.join(beta)}] AS beta FROM inside, alphas WHERE {known} GROUP BY fold, alpha"
+
+
+_dot = "CASE model " + " ".join(f"WHEN '{n}' THEN {' + '.join(f'{c} * beta[{i + 1}]' for i, c in enumerate(ridge.terms(n)))}" for n in ridge.MODELS) + " END"
+CHOICE_SQL = f"""alphas(alpha) AS (VALUES {', '.join(f'({a:.1f}::DOUBLE)' for a in ALPHAS)}),
+fits AS ({' UNION ALL '.join(_model_sql(n) for n in ridge.MODELS)}),
+tried AS (SELECT i.fold, model, alpha, open_time, {_dot} AS ridge_score, target_z FROM inside i JOIN fits USING (fold)),
+tried_ic AS ({sql.coefficients('tried', ['ridge_score'], 'target_z', ['fold', 'model', 'alpha', 'open_time'], 8, 'spearman')}),
+means AS (SELECT fold, model, alpha, avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM tried_ic GROUP BY ALL),
+chosen AS (SELECT m.*, beta FROM means m JOIN fits USING (fold, model, alpha) QUALIFY row_number() OVER (PARTITION BY fold, model ORDER BY round(mean_ic, 12) DESC NULLS LAST, hit_rate DESC NULLS LAST, alpha) = 1)"""  # over `inside`
+CHOSEN_SQL = f"""{FRAME}, {FOLD_SQL}, inside AS (SELECT fold, pair, open_time, {', '.join(TERMS)}, target_z FROM features JOIN folds ON open_time >= is_start AND open_time < is_end), {CHOICE_SQL},
+os AS (SELECT f.fold, model, alpha, pair, open_time, close, {_dot} AS ridge_score, {LABEL} AS ret FROM features JOIN folds f ON open_time >= os_start AND open_time < os_end JOIN chosen USING (fold))"""
+
+
+def _chosen(spark, sf_dir):
+    """The panel, and the coefficients of each fold and model with the alpha chosen in sample."""
+    panel = stored(frame(spark, sf_dir).select("pair", "open_time", "close", *TERMS, "target_z", LABEL), "panel")
+    train = ridge.in_folds(panel, _folds(spark), "is").select("fold", "pair", "open_time", *TERMS, "target_z")
+    return panel, stored(ridge.choose_models(train, ridge.fit_models(train, "target_z", ALPHAS, ["fold"]), "target_z", ["fold"], 8), "chosen")
+
+
+def _chosen_scores(spark, sf_dir):
+    """Out-of-sample scores of all models with their chosen alphas."""
+    panel, chosen = _chosen(spark, sf_dir)
+    return ridge.score_models(ridge.in_folds(panel, _folds(spark), "os"), chosen, ["fold"])
+
+
+@query("ridge_models", f"{CHOSEN_SQL} SELECT fold, model, alpha, {s6('mean_ic')}, {s6('hit_rate')}, round(beta[1], 6) AS first_beta, len(beta)::INTEGER AS terms FROM chosen")
+def ridge_models(spark, sf_dir):
+    out = _chosen(spark, sf_dir)[1]
+    return out.select("fold", "model", "alpha", r6("mean_ic"), r6("hit_rate"), F.round(F.col("beta")[0], 6).alias("first_beta"), F.size("beta").alias("terms"))
+
+
+@query("ridge_scores_latest", f"{CHOSEN_SQL} SELECT fold, model, alpha, pair, open_time, {s6('ridge_score')} FROM os QUALIFY open_time = max(open_time) OVER (PARTITION BY fold)")
 def ridge_scores_latest(spark, sf_dir):
-    s = _os_scores(spark, sf_dir).withColumn("_last", F.max("open_time").over(Window.partitionBy("fold")))
-    return s.filter("open_time = _last").select("fold", "pair", "open_time", r6("ridge_score"))
+    s = _chosen_scores(spark, sf_dir).withColumn("_last", F.max("open_time").over(Window.partitionBy("fold")))
+    return s.filter("open_time = _last").select("fold", "model", "alpha", "pair", "open_time", r6("ridge_score"))
 
 
-@query("walkforward_eval", f"{OS_SQL}, c AS ({sql.coefficients('os', ['ridge_score'], 'ret', ['fold', 'open_time'], 8, 'spearman')}), i AS (SELECT fold, avg(ic) AS mean_ic, count(ic) AS periods FROM c GROUP BY fold), b AS (SELECT * FROM os WHERE ridge_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fold, open_time ORDER BY ridge_score DESC, pair) <= 3), t AS (SELECT fold, avg(ret) AS top_return FROM b GROUP BY fold) SELECT fold, {s6('mean_ic')}, periods, {s6('top_return')} FROM i JOIN t USING (fold)")
+@query("walkforward_eval", f"{CHOSEN_SQL}, c AS ({sql.coefficients('os', ['ridge_score'], 'ret', ['fold', 'model', 'alpha', 'open_time'], 8, 'spearman')}), i AS (SELECT fold, model, alpha, avg(ic) AS mean_ic, count(ic) AS periods FROM c GROUP BY ALL), b AS (SELECT * FROM os WHERE ridge_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fold, model, open_time ORDER BY ridge_score DESC, pair) <= 3), t AS (SELECT fold, model, avg(ret) AS top_return FROM b GROUP BY ALL) SELECT fold, model, alpha, {s6('mean_ic')}, periods, {s6('top_return')} FROM i JOIN t USING (fold, model)")
 def walkforward_eval(spark, sf_dir):
-    s = _os_scores(spark, sf_dir).withColumn("ret", F.col(LABEL))
-    ics = ic.coefficients(s, ["ridge_score"], "ret", ["fold", "open_time"], 8).groupBy("fold").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("periods"))
-    best = reports.top_k(s, "ridge_score", 3, ["fold", "open_time"]).groupBy("fold").agg(F.avg("ret").alias("top_return"))
-    return ics.join(best, "fold").select("fold", r6("mean_ic"), "periods", r6("top_return"))
+    s = stored(_chosen_scores(spark, sf_dir).select("fold", "model", "alpha", "pair", "open_time", "ridge_score", F.col(LABEL).alias("ret")), "out_of_sample")
+    ics = ic.coefficients(s, ["ridge_score"], "ret", ["fold", "model", "alpha", "open_time"], 8).groupBy("fold", "model", "alpha").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("periods"))
+    best = reports.top_k(s, "ridge_score", 3, ["fold", "model", "open_time"]).groupBy("fold", "model").agg(F.avg("ret").alias("top_return"))
+    return ics.join(best, ["fold", "model"]).select("fold", "model", "alpha", r6("mean_ic"), "periods", r6("top_return"))
 
 
 # regimes
@@ -354,11 +406,23 @@ def kmeans_one_step(spark, sf_dir):
     return e.groupBy("cluster_id").agg(*[F.round(F.avg((F.col(c) - m) / s), 6).alias(c) for c, m, s in zip(GATE, means, stds)])
 
 
-@query("kmeans_fixed_init")
+LLOYD_STEPS = 40
+_unrolled = ", ".join(
+    f"""far_{n} AS (SELECT z0, z1, z2, c.c AS c, list_transform(range(0, 3), lambda k: list_sum(list_transform([z0, z1, z2], lambda z, i: (z - c.c[k + 1][i]) ** 2))) AS far FROM g0, centres_{n} c),
+near_{n} AS (SELECT *, list_position(far, list_min(far)) AS k FROM far_{n}),
+mean_{n} AS (SELECT k, [avg(z0), avg(z1), avg(z2)] AS m FROM near_{n} GROUP BY k),
+centres_{n + 1} AS (SELECT list_transform(c.c, lambda old, k: coalesce((list_filter(n.l, lambda x: x.k = k)[1]).m, old)) AS c FROM centres_{n} c, (SELECT list(mean_{n}) AS l FROM mean_{n}) n)"""
+    for n in range(LLOYD_STEPS)
+)
+KMEANS = f"{ENTRIES}, g0 AS MATERIALIZED (SELECT *, {_z} FROM entries), centres_0 AS (SELECT {CENTRES}::DOUBLE[][] AS c), {_unrolled}"
+
+
+@query("kmeans_fixed_init", f"{KMEANS} SELECT k::INTEGER AS cluster_id, {', '.join(f'round(c[k + 1][{i + 1}], 4) AS {n}' for i, n in enumerate(GATE))} FROM centres_{LLOYD_STEPS}, range(0, 3) r(k)")
 def kmeans_fixed_init(spark, sf_dir):
     e = _entries(spark, sf_dir)
     found = regime.kmeans(e, GATE, CENTRES)
-    return spark.createDataFrame([(k, *c) for k, c in enumerate(found)], "cluster_id int, " + ", ".join(f"{c} double" for c in GATE))
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(found)], "cluster_id int, " + ", ".join(f"{c} double" for c in GATE))
+    return rows.select("cluster_id", *[F.round(c, 4).alias(c) for c in GATE])
 
 
 # policies
