@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.functions.expr import null_nan
 from panelforge.operators.order import numbered, quantiles
 from panelforge.session import stored, table
 
@@ -141,9 +144,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def json_safe(value):
+    """A value that JSON can hold: times as ISO text, arrays as lists, numbers that are not finite as null, keys as text."""
+    if isinstance(value, dict):
+        return {str(k): json_safe(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [json_safe(v) for v in (sorted(value) if isinstance(value, (set, frozenset)) else value)]
+    if isinstance(value, (datetime, date)):
+        return value.isoformat()
+    if hasattr(value, "tolist"):  # numpy's arrays and numbers
+        return json_safe(value.tolist())
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    return value if value is None or isinstance(value, (str, int, bool)) else str(value)
+
+
+def json_records(df: DataFrame) -> DataFrame:
+    """One column, `record`: each row as a JSON object with all of its columns, numbers that are not finite as null."""
+    kinds = dict(df.dtypes)
+    clean = [null_nan(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns]
+    return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def save_model(spark: SparkSession, model: dict, kind: str, path: str) -> None:
     """A model artifact as one line of JSON; numbers that are not finite become null."""
-    clean = json.loads(json.dumps({"artifact_version": 1, "kind": kind, **model}), parse_constant=lambda _: None)
+    clean = json_safe({"artifact_version": 1, "kind": kind, **model})
     spark.createDataFrame([(json.dumps(clean),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -43,15 +43,6 @@ def test_stream_bars_equal_batch(spark, tmp_path):
     ticks.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "in"))
     S.upsert_sink(S.stream_bars(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    versions = sorted((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:]))
-    got = {(r.pair, r.open_time): r.close for r in spark.read.parquet(str(versions[-1])).collect()}
+    got = {(r.pair, r.open_time): r.close for r in S.stored_bars(spark, str(tmp_path / "out")).collect()}
     want = {(r.pair, r.open_time): r.close for r in B.hourly_bars(spark, SF).collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 10
-
-
-def test_running_positions(spark, tmp_path):
-    schema = "pair string, side string, quantity double, price double"
-    spark.createDataFrame([("A", "BUY", 2.0, 10.0), ("A", "BUY", 2.0, 20.0), ("B", "BUY", 1.0, 5.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = S.running_positions(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("positions").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r.pair, r.quantity, r.cost) for r in spark.table("positions").collect()} == {("A", 4.0, 60.0), ("B", 1.0, 5.0)}
