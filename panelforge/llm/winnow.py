@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, as DataFrame functions.
 
-Every run of k code points has a rolling hash: the polynomial hash of two neighbouring runs gives that of both together,
-so all k-grams cost log2(k) passes over the text, not k. Of each window of w neighbouring hashes the smallest is kept, the
+Every run of k code points has a rolling hash: its symbols (pairs of code points for an even k, else single ones) are
+hashed, shifted by the code points that follow and combined by exclusive or, a polynomial over bits. The hash of two
+neighbouring runs gives that of both together, so all k-grams cost log2(k) passes over the text, not k, and no product
+has to be kept from overflowing. Of each window of w neighbouring hashes the smallest is kept, the
 rightmost one if several are equal, with its position. Two texts that share a run of w + k - 1 code points share a kept
-hash. What a fingerprint holds is the 64-bit hash of each kept gram; the 31-bit rolling hash only chooses.
+hash. What a fingerprint holds is the 64-bit hash of each kept gram; the low 31 bits of the rolling hash only choose.
 
 A hash and its position are packed in one long (hash above, complement of the position below), so that the smaller long
 is the smaller hash or the one further right, and the window minimum is log2(w) passes of pairwise minima. Texts are
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 LAST = (1 << 31) - 1  # positions are below this
-MASK, BASE = (1 << 31) - 1, 1_000_003  # rolling hashes are polynomials in BASE modulo MASK + 1; their products fit in a long
+MASK = (1 << 31) - 1  # of a rolling hash, the low 31 bits choose
 
 
 def _let(value: Column, use) -> Column:
@@ -25,28 +27,25 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _joined(a: Column, b: Column, at: Column, size_a: int, size_b: int) -> Column:
-    """Hash of the run of size_a + size_b at place `at`, given those of both sizes at every place; NULL where the text ends before."""
-    factor = F.lit(pow(BASE, size_b, MASK + 1))
-    return (F.get(a, at) * factor + F.get(b, at + size_a)).bitwiseAND(F.lit(MASK))
+def _joined(a: Column, b: Column, size: int) -> Column:
+    """Hash of a run, given the hash of its first part and that of the `size` code points after it."""
+    return F.shiftleft(a, size).bitwiseXOR(b)
 
 
-def _rolled(x: Column, k: int, use) -> Column:
-    """use(at -> rolling hash of the run of k symbols at that place) for the symbol values x. Neighbours are read by
-    their place, so no pass copies a shifted array, and the last doubling is part of the caller's pass."""
-    if k == 1:
-        return use(lambda at: F.get(x, at))
+def _rolled(x: Column, k: int, span: int, use) -> Column:
+    """use(y, (v, at) -> rolling hash of the run of k code points at place `at`, where y has v), given the hashes x of
+    all runs of `span`. A place is read by its own lambda variable, its neighbour by its place: no pass copies a shifted
+    array, and the last doubling is part of the caller's pass."""
+    if k == span:
+        return use(x, lambda v, at: v)
 
-    def doubled(half) -> Column:
-        def from_halves(y: Column) -> Column:
-            both = lambda at: _joined(y, y, at, k // 2, k // 2)
-            if k % 2 == 0:
-                return use(both)
-            return _let(F.transform(x, lambda _, at: both(at)), lambda z: use(lambda at: _joined(z, x, at, k - 1, 1)))
+    def from_halves(y: Column) -> Column:
+        both = lambda v, at: _joined(v, F.get(y, at + k // 2), k // 2)
+        if k % 2 == 0:
+            return use(y, both)
+        return _let(F.transform(y, both), lambda z: use(z, lambda v, at: _joined(v, F.get(x, at + (k - 1)), 1)))
 
-        return from_halves(x) if k // 2 == 1 else _let(F.transform(x, lambda _, at: half(at)), from_halves)
-
-    return _rolled(x, k // 2, doubled)
+    return _rolled(x, k // 2, span, lambda y, half: from_halves(y) if k // 2 == span else _let(F.transform(y, half), from_halves))
 
 
 def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
@@ -54,13 +53,14 @@ def _keys(raw: Column, start: Column, end: Column, k: int) -> Column:
 
     A text shorter than k is one gram; as there is nothing to choose from, it needs no hash here.
     """
-    symbol = lambda at: F.xxhash64(F.substring(raw, at, F.lit(4))).bitwiseAND(F.lit(MASK))
-    symbols = F.transform(F.sequence(start * 4 + 1, (end + (k - 2)) * 4 + 1, F.lit(4)), symbol)
-    packed = lambda hash_at: F.transform(F.sequence(F.lit(0), end - start - 1), lambda at: F.shiftleft(hash_at(at), 31).bitwiseOR(F.lit(LAST) - start - at))
+    span = 2 if k % 2 == 0 else 1
+    symbol = lambda at: F.xxhash64(F.substring(raw, at, F.lit(4 * span)))
+    symbols = F.transform(F.sequence(start * 4 + 1, (end + (k - 1 - span)) * 4 + 1, F.lit(4)), symbol)
+    packed = lambda y, hash_of: F.slice(F.transform(y, lambda v, at: F.shiftleft(hash_of(v, at).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(LAST) - start - at)), F.lit(1), end - start)
     none = F.array().cast("array<bigint>")
     short = F.array((F.lit(LAST) - start).cast("bigint"))
     whole = F.floor(F.octet_length(raw) / 4) >= end + (k - 1)
-    return F.when(start >= end, none).when(~whole, short).otherwise(_let(symbols, lambda x: _rolled(x, k, packed)))
+    return F.when(start >= end, none).when(~whole, short).otherwise(_let(symbols, lambda x: _rolled(x, k, span, packed)))
 
 
 def _window_minima(keys: Column, w: int) -> Column:
