@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with the path of block elements that lead to it. Text length, punctuation and
-link text are summed per path, smoothed over neighbouring blocks, and fused to one figure per path; paths over a
-threshold hold the content. Elements that the markup itself names as page furniture (navigation, adverts, forms, reader
+link text are summed per path, smoothed over neighbouring blocks, and fused with the path's share of the page's text to
+one figure per path; paths over a threshold hold the content. Elements that the markup itself names as page furniture (navigation, adverts, forms, reader
 comments) count as zero. The lowest element that holds all blocks of the content paths, whatever its name, gives its
 short blocks (headings, list items, table cells, one-word paragraphs) too, all but furniture.
 """
@@ -10,6 +10,7 @@ short blocks (headings, list items, table cells, one-word paragraphs) too, all b
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ FURNITURE_NAMES = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Pieces of compound names such as site-header or comment-list. A name with one of KEEPS is none of furniture.
+KEEPS = frozenset("article content entry has have no not post story text with without".split())
+PARTS = frozenset("area bar block body box container holder inner item items links list panel section slot thread unit wrap wrapper zone".split())
+ALONE = frozenset("related respond share skip social".split())  # too common as a last piece
 HOLDERS = frozenset("article body center details div html main section".split())  # the others belong to the text itself
 NEVER_NAMED = frozenset("html body main article".split())  # their classes speak of the page, not of furniture
 
@@ -43,10 +48,22 @@ SIGN = re.compile(r"[>\"']")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAMING = frozenset(("class", "id", "role"))
+PIECE = re.compile("[a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，؟]")
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
+def names_furniture(token: str) -> bool:
+    """Whether a class, id or role (in lower case) says that its element is furniture: as a whole, or by its pieces."""
+    if token in FURNITURE_NAMES:
+        return True
+    pieces = PIECE.findall(token)
+    if len(pieces) < 2 or not KEEPS.isdisjoint(pieces):
+        return False
+    first, last = pieces[0], pieces[-1]
+    return (last in FURNITURE_NAMES and last not in ALONE) or (first in FURNITURE_NAMES and (last in PARTS or last.isdigit()))
+
+
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """(start, end, closing, name, attributes) of each piece of markup, in order; name is empty for what has no text.
 
@@ -184,7 +201,7 @@ def blocks(page: str) -> Page:
                 words = {w for name, *x in ATTRIBUTE.findall(rest) if name.lower() in NAMING for w in "".join(x).lower().split()}
                 number += 1
                 _, inside, path, _, holder = stack[-1] if stack else ("", False, -1, -1, -1)
-                named = tag in FURNITURE or (tag not in NEVER_NAMED and bool(words & FURNITURE_NAMES))
+                named = tag in FURNITURE or (tag not in NEVER_NAMED and any(map(names_furniture, words)))
                 if tag in HOLDERS:
                     found.above[number], holder = holder, number
                 stack.append((tag, inside or named, paths.setdefault((path, tag), len(paths)), number, holder))
@@ -196,21 +213,24 @@ def blocks(page: str) -> Page:
 
 
 def path_ratios(parts: list[Block]) -> dict[int, float]:
-    """The fused ratio of each tag path: mean text length outside links, smoothed over neighbouring blocks, raised by punctuation.
+    """The fused ratio of each tag path: mean text length outside links, smoothed over neighbouring blocks, raised by
+    punctuation and lowered by the root of the path's share of all such text.
 
     Furniture counts as zero, and links lower a block by their share.
     """
-    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for k, x in enumerate(parts):
         near = [len(y.text) - y.link for y in parts[max(0, k - 1) : k + 2] if not y.furniture]
         s = sums[x.path]
         s[0] += 0 if x.furniture else (sum(near) / max(len(near), 1) + len(x.text) - x.link) / 2 * (1 - x.link / len(x.text))
         s[1] += len(PUNCTUATION.findall(x.text))
         s[2] += 1
-    return {path: length / n * (1 + min(1.0, 20 * marks / n / max(length / n, 1))) for path, (length, marks, n) in sums.items()}
+        s[3] += 0 if x.furniture else len(x.text) - x.link
+    whole = max(sum(s[3] for s in sums.values()), 1)
+    return {path: length / n * (1 + min(1.0, 20 * marks / n / max(length / n, 1))) * math.sqrt(own / whole) for path, (length, marks, n, own) in sums.items()}
 
 
-def content(page: str | None, threshold: float = 0.2) -> str:
+def content(page: str | None, threshold: float = 0.5) -> str:
     """The kept blocks of a page, one to a line; empty if there are none."""
     if not page:
         return ""
@@ -228,7 +248,7 @@ def content(page: str | None, threshold: float = 0.2) -> str:
     return "\n".join(x.text for x in cut.blocks if not x.furniture and shared <= x.holder <= top)
 
 
-def extracted(pages: DataFrame, html_col: str = "html", threshold: float = 0.2) -> DataFrame:
+def extracted(pages: DataFrame, html_col: str = "html", threshold: float = 0.5) -> DataFrame:
     """`pages` with text (the main text, empty if none) and n_chars (its code points) in place of the HTML column.
 
     A null page is empty, an empty table gives no rows. Unclosed elements end where HTML lets them; an unclosed comment or script runs to the end of

@@ -441,7 +441,7 @@ def test_html_text_holds_short_blocks():
     assert beside == f"{long.strip()}\n{long.strip()}"
 
 
-def _plain_content(page, threshold=0.2):
+def _plain_content(page, threshold=0.5):
     """A second, plain form of html_text.content(): the standard library's parser, and paths and ancestors as lists."""
     from html.parser import HTMLParser
 
@@ -479,7 +479,7 @@ def _plain_content(page, threshold=0.2):
                     self.leave(tag, H.CLOSES[tag]) if tag in H.CLOSES else self.leave("p", ("article", "div", "section", "td", "li", "body")) if tag in H.BLOCKS else None
                     words = {w for k, v in attrs if k in H.NAMING for w in (v or "").lower().split()}
                     self.n += 1
-                    self.stack.append((tag, tag in H.FURNITURE or (tag not in H.NEVER_NAMED and bool(words & H.FURNITURE_NAMES)), self.n))
+                    self.stack.append((tag, tag in H.FURNITURE or (tag not in H.NEVER_NAMED and any(map(H.names_furniture, words))), self.n))
 
         def handle_endtag(self, tag):
             if tag in H.RAW:
@@ -508,7 +508,8 @@ def _plain_content(page, threshold=0.2):
                 mine.append(0 if x[1] else (sum(near) / max(len(near), 1) + len(x[2]) - x[3]) / 2 * (1 - x[3] / len(x[2])))
                 marks += sum(c in ".,;:!?…。،؟" for c in x[2])
         mean = sum(mine) / len(mine)
-        ratios[path] = mean * (1 + min(1.0, 20 * marks / len(mine) / max(mean, 1)))
+        own = sum(len(x[2]) - x[3] for x in out if tuple(x[0]) == path and not x[1])
+        ratios[path] = mean * (1 + min(1.0, 20 * marks / len(mine) / max(mean, 1))) * (own / max(sum(len(x[2]) - x[3] for x in out if not x[1]), 1)) ** 0.5
     kept = [x for x in out if not x[1] and 0 < ratios[tuple(x[0])] >= threshold * max(ratios.values())]
     if not kept:
         return ""
@@ -522,6 +523,22 @@ def test_html_text_against_a_plain_form(spark):
     assert [html_text.content(p) for p in pages] == [_plain_content(p) for p in pages]
 
 
+def test_html_text_names():
+    gone = ["nav", "site-header", "main-nav", "comment-list", "promo_box", "ad-300", "cookie-banner", "left-sidebar", "newsletter-signup"]
+    kept = ["no-comments", "social-science", "has-sidebar", "article-header", "market-share", "header-image", "content", "additional", "post-footer"]
+    assert all(map(html_text.names_furniture, gone)) and not any(map(html_text.names_furniture, kept))
+
+
+def test_html_text_ratios_decide_without_names(spark, monkeypatch):
+    """With no name of an element or class as furniture, at most a tenth of the pages changes; and the threshold matters."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").limit(250).collect()]
+    with_names = [html_text.content(p) for p in pages]
+    monkeypatch.setattr(html_text, "FURNITURE", frozenset())
+    monkeypatch.setattr(html_text, "FURNITURE_NAMES", frozenset())
+    changed = {t: sum(html_text.content(p, t) != w for p, w in zip(pages, with_names)) for t in (0.05, 0.5, 1.0)}
+    assert changed[0.5] <= len(pages) / 10 and changed[0.05] > changed[0.5] >= changed[1.0]
+
+
 def test_html_text_threshold_decides():
     long, middle = "Words of a sentence, and more words. " * 20, "Some words here, not many. " * 4
     page = f"<body><section><p>{long}</p><p>{long}</p></section><section><ul><li>{middle}</li></ul></section></body>"
