@@ -11,8 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
+from panelforge.llm.common import small_side, stored
+from panelforge.operators.order import running_sum
+
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
     """The place on the Hilbert curve of the point with the integer coordinates `axes`, each of `bits` bits.
@@ -68,29 +72,47 @@ def ranked(df: DataFrame, cell: str, tie: list[str], rows: int, rows_per_part: i
     return df.withColumn("_at", at).join(starts, [cell, "_part"]).withColumn("rank", F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
 
 
+def by_value(points: DataFrame, column: str, top: int, out: str) -> DataFrame:
+    """points with `out`, the cell from 0 to top in which the middle of the value's rows lies in value order; null is 0.
+
+    Values keep their order, so that a run of cells is a range of values and its least and largest tell what it holds. A
+    row per distinct value is counted and summed up by blocks.
+    """
+    counts = stored(points.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), "values")
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    upto = running_sum(counts, column, "_n", "_upto")
+    cells = upto.select(F.col(column).alias("_value"), F.floor((F.col("_upto") - F.col("_n") / 2) / total * (top + 1)).cast("int").alias("_cell"))
+    cells = small_side(stored(cells, "value_cells"), row_bytes=512)
+    return points.join(cells, F.col(column) == F.col("_value"), "left").withColumn(out, F.coalesce("_cell", F.lit(0))).drop("_value", "_cell")
+
+
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, size (UTF-8 bytes + 8), text_crc32, hilbert, shard, slot, under the law `rows`.
 
-    Dimensions, of `bits` bits each: language and source (hashed), size (log scale), id (equal ranges from smallest to
-    largest). Shards are runs of the curve order whose row counts differ by one at most; slot is the place in the shard.
+    Dimensions, of `bits` bits each: language and source by the place of their value, size and id by approximate
+    quantiles, all in cells of about equal counts. Shards are runs of the curve order whose row counts differ by one at
+    most; slot is the place in the shard.
 
-    Nulls: a null text has size 8 and checksum 0; null language, source or id count as cell 0 of their dimension.
-    Repeated rows each get their own slot. An empty table gives no rows. Other columns are ignored.
+    Nulls: a null text has size 8 and checksum 0; null language, source or id count as cell 0 of their dimension. Ids may
+    be numbers or texts. Repeated rows each get their own slot. An empty table gives no rows. Other columns are ignored.
     """
     top, raw = (1 << bits) - 1, F.encode(F.col(text_col), "UTF-8")
-    rows, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    span = float((high or 0) - (low or 0) + 1)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8
-    hashed = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(top + 1))).cast("int")
     points = docs.select(
         F.col(id_col).alias("doc_id"),
-        size.alias("size"),
+        (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        hashed(lang_col).alias("_x0"),
-        hashed(source_col).alias("_x1"),
-        F.least(F.lit(top), F.floor(F.log2(size / 8.0) * ((top + 1) / 16.0))).cast("int").alias("_x2"),
-        F.coalesce(F.least(F.lit(top), F.floor((F.col(id_col).cast("double") - float(low or 0)) / span * (top + 1))), F.lit(0)).cast("int").alias("_x3"),
+        F.col(lang_col).alias("_lang"),
+        F.col(source_col).alias("_source"),
     )
+    points = stored(points, "points")
+    numeric = isinstance(points.schema["doc_id"].dataType, NumericType)
+    shares = [k / (top + 1) for k in range(1, top + 1)]
+    cut = lambda c: F.percentile_approx(c, shares, 10_000)
+    rows, sizes, ids = points.agg(F.count("*"), cut("size"), cut("doc_id") if numeric else F.lit(None)).first()
+    cell = lambda c, cuts: F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(c))), F.lit(0)) if cuts else F.lit(0)
+    points = by_value(by_value(points, "_lang", top, "_x0"), "_source", top, "_x1").drop("_lang", "_source")
+    points = points.withColumn("_x2", F.least(cell("size", sizes), F.lit(top)))
+    points = points.withColumn("_x3", F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(cell("doc_id", ids), F.lit(top)))) if numeric else by_value(points, "doc_id", top, "_x3")
     points = points.withColumn("hilbert", hilbert_index([F.col(f"_x{i}") for i in range(4)], bits)).drop("_x0", "_x1", "_x2", "_x3")
     order = ranked(points, "hilbert", ["doc_id", "text_crc32", "size"], rows, cell_bits=4 * bits)
     shard = F.expr(f"int((rank * {n_shards}) div {max(rows, 1)})")

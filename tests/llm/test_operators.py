@@ -267,6 +267,25 @@ def test_hilbert_shards(spark):
     assert hilbert.hilbert_shards(d.limit(0)).count() == 0
 
 
+def test_hilbert_shards_prune_all_dimensions(spark):
+    """The share of shards that the least and largest value let a reader skip for one value, over all values."""
+    rows = [(k, "w" * (1 + (k * 7919) % 4000), "abcd"[k * 31 % 4], f"s{k * 17 % 20:02d}") for k in range(3000)]
+    rows += [(5000 + k, "w" * 50, "a", "s00") for k in range(1500)]  # a third of the rows has one source and language
+    docs = spark.createDataFrame([(i, t, lang, s, "x", 1, 2) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, shard string, slot int, hilbert int")
+    got = hilbert.hilbert_shards(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    assert len(got) == len(rows) and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    for c in ("doc_id", "size", "lang", "source"):
+        ends = got.groupby("shard")[c].agg(["min", "max"])
+        skipped = [((ends["min"] > v) | (ends["max"] < v)).mean() for v in got[c].unique()]
+        assert sum(skipped) / len(skipped) >= 0.5, (c, sum(skipped) / len(skipped))
+
+
+def test_hilbert_shards_of_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{k:03d}", "x" * k, "en", None) for k in range(50)] + [(None, None, None, "s")] * 3, "doc_id string, text string, lang string, source string")
+    got = hilbert.hilbert_shards(docs, 5).toPandas()
+    assert len(got) == 53 and sorted(got.groupby("shard").size()) == [10, 10, 11, 11, 11]
+
+
 def test_hilbert_curve_is_continuous(spark):
     df = spark.range(16).crossJoin(spark.range(16).withColumnRenamed("id", "j")).select(F.col("id").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
     at = {r.h: (r.i, r.j) for r in df.select("i", "j", hilbert.hilbert_index([F.col("i"), F.col("j")], 4).alias("h")).collect()}
