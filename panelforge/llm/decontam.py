@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelforge.llm.common import small_side, stored
+from panelforge.llm.common import measured_side, small_side, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,11 +58,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs
 
 
-def _found(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_id_col: str, item_text_col: str, broadcast_rows: int) -> DataFrame | None:
+def _found(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_id_col: str, item_text_col: str, broadcast_rows: int, broadcast_bytes: int = 64 << 20) -> DataFrame | None:
     """_id, _k, n_hit, ids (item ids) of the keyed documents that hold windows; None if there are no windows."""
     shingles = stored(windows(items, window, shingle, item_id_col, item_text_col), "windows")
-    stats = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    small = sum(stats.values()) <= broadcast_rows
+    wide = F.sum(F.octet_length(F.array_join("window", " ")) + 64)
+    stats = {r["size"]: (r["n"], r["bytes"]) for r in shingles.groupBy("size").agg(F.count("*").alias("n"), wide.alias("bytes")).collect()}
+    small = sum(n for n, _ in stats.values()) <= broadcast_rows and sum(b for _, b in stats.values()) <= broadcast_bytes
     side = F.broadcast if small else (lambda x: x)
     source = docs.select("doc_id", "_key", words(F.col("_text")).alias("found"))
     hits = None
@@ -74,7 +75,7 @@ def _found(docs: DataFrame, items: DataFrame, window: int, shingle: int, item_id
         rarest = F.row_number().over(W.partitionBy("item_id", "window").orderBy("n", "token", "offset"))
         prefix = stored(mine.join(counts, "token").withColumn("_r", rarest).filter("_r = 1").select("item_id", "window", "length", "offset", "token"), "prefix")
         met = spots.join(side(prefix.select("token").distinct()), "token").groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_t")).agg(F.collect_list(F.struct("at", "token")).alias("spots"))
-        met = small_side(stored(met, "candidates"), row_bytes=256)
+        met = measured_side(stored(met, "candidates"), "24L * size(spots)")
         # the words of these documents only, and of them those around each spot
         each = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_t")))
         each = each.select("doc_id", "_key", words(F.col("_text")).alias("found"), "spots").withColumn("_n", F.size("found")).withColumn("_s", F.explode("spots"))
@@ -109,8 +110,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     and another text, or a null id, are told apart. Item rows with the same id are one item; a null item id matches but
     is not counted among the items. Empty tables give no rows, or no hits.
 
-    The benchmark is broadcast only if it has at most broadcast_rows shingles (counted first; a row has at most `window`
-    words); a larger one is joined by shuffles.
+    The benchmark is broadcast only if it has at most broadcast_rows shingles and their windows at most 64 MiB (both
+    counted first); a larger one is joined by shuffles.
     """
     docs = _keyed(docs, id_col, text_col)
     found = _found(docs, items, window, shingle, item_id_col, item_text_col, broadcast_rows)
