@@ -3,8 +3,6 @@
 from datetime import datetime, timedelta
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 from panelforge.streaming import bars as S
 
 DAY = 86_400_000
