@@ -216,6 +216,7 @@ def select_alpha(train: DataFrame, betas: DataFrame, x: list[str], y: str, by: l
 
 
 def _best_alpha(ics: DataFrame, by: list[str]) -> DataFrame:
-    means = ics.groupBy(*by, "alpha").agg(F.avg("ic").alias("mean_ic"), F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
+    """Coefficients that are zero up to the order of summation are no hits."""
+    means = ics.groupBy(*by, "alpha").agg(F.avg("ic").alias("mean_ic"), F.avg(F.when(F.round("ic", 9) > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
     w = Window.partitionBy(*by).orderBy(F.round("mean_ic", 12).desc_nulls_last(), F.col("hit_rate").desc_nulls_last(), "alpha")
     return means.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -244,7 +244,7 @@ def ridge_fit_two_terms(spark, sf_dir):
     "ridge_select",
     f"""{FIT_SQL}, s AS (SELECT t.fold, alpha, open_time, x * beta AS ridge_score, y AS target_z FROM train t JOIN fit USING (fold)),
 c AS ({sql.coefficients('s', ['ridge_score'], 'target_z', ['fold', 'alpha', 'open_time'], 8, 'spearman')}),
-g AS (SELECT fold, alpha, avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM c GROUP BY fold, alpha)
+g AS (SELECT fold, alpha, avg(ic) AS mean_ic, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM c GROUP BY fold, alpha)
 SELECT fold, alpha, {s6('mean_ic')}, {s6('hit_rate')} FROM g QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(mean_ic, 12) DESC NULLS LAST, hit_rate DESC NULLS LAST, alpha) = 1""",
 )
 def ridge_select(spark, sf_dir):
@@ -287,7 +287,7 @@ CHOICE_SQL = f"""alphas(alpha) AS (VALUES {', '.join(f'({a:.1f}::DOUBLE)' for a
 fits AS ({' UNION ALL '.join(_model_sql(n) for n in ridge.MODELS)}),
 tried AS (SELECT i.fold, model, alpha, open_time, {_dot} AS ridge_score, target_z FROM inside i JOIN fits USING (fold)),
 tried_ic AS ({sql.coefficients('tried', ['ridge_score'], 'target_z', ['fold', 'model', 'alpha', 'open_time'], 8, 'spearman')}),
-means AS (SELECT fold, model, alpha, avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM tried_ic GROUP BY ALL),
+means AS (SELECT fold, model, alpha, avg(ic) AS mean_ic, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM tried_ic GROUP BY ALL),
 chosen AS (SELECT m.*, beta FROM means m JOIN fits USING (fold, model, alpha) QUALIFY row_number() OVER (PARTITION BY fold, model ORDER BY round(mean_ic, 12) DESC NULLS LAST, hit_rate DESC NULLS LAST, alpha) = 1)"""  # over `inside`
 CHOSEN_SQL = f"""{FRAME}, {FOLD_SQL}, inside AS (SELECT fold, pair, open_time, {', '.join(TERMS)}, target_z FROM features JOIN folds ON open_time >= is_start AND open_time < is_end), {CHOICE_SQL},
 os AS (SELECT f.fold, model, alpha, pair, open_time, close, {_dot} AS ridge_score, {LABEL} AS ret FROM features JOIN folds f ON open_time >= os_start AND open_time < os_end JOIN chosen USING (fold))"""

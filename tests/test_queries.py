@@ -25,7 +25,7 @@ def rows(names, values):
     return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in values), key=str)
 
 
-@pytest.mark.parametrize("name", ["bars_ohlcv", "vpin", "z_momentum_x_low_roll_impact", "ic_by_time", "ridge_select", "decision_features", "policy_grid", "asof_prior", "equity_metrics", "ic_summary", "shadow_filter_report", "forward_report", "health_issues", "walk_forward_metrics"])
+@pytest.mark.parametrize("name", ["bars_ohlcv", "vpin", "z_momentum_x_low_roll_impact", "ic_by_time", "ridge_select", "decision_features", "policy_grid", "asof_prior", "equity_metrics", "ic_summary", "shadow_filter_report", "forward_report", "health_issues", "walk_forward_metrics", "late_bars_upsert", "jsonl_slice", "json_records", "csv_roundtrip", "asof_hot_key", "ic_pooled_spearman", "walkforward_eval", "kmeans_fixed_init", "live_pair"])
 def test_matches_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
