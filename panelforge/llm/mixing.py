@@ -9,7 +9,8 @@ the fraction from one to the next, from a start that is hashed. Each document st
 words taken miss a target by about one document, not by the spread of independent trials (28 % of a source of 50
 documents here).
 
-Only ids, sources and sizes are shuffled. A source with a third of all rows is dealt over strata of bounded size.
+Only ids, sources, sizes and hashes are shuffled. A source with a third of all rows is dealt over strata of bounded size;
+only rows that are equal in id and text share one however many they are.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return now.select("source", "source_size", F.when(free, fair).otherwise((F.col("source_size") * most).cast("double")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 13, stratum_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 13, stratum_rows: int = 1_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size (words), source_size, target (of its source), taken (words the mix takes, repeats counted), copies.
 
     Nulls: a null text has size 0, a null source is a source of its own, a null id is an id like others. Repeated rows are
@@ -54,17 +55,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     rows. Other columns are ignored. The same rows give the same result, however they are dealt.
     """
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, text_col).alias("_hash")), "sizes")
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     classes = stored(rows.groupBy("source", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "size_classes")
     goals = stored(targets(classes.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most), "targets")
     strata = _joined(classes, goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     strata = stored(strata.select(F.col("source").alias("_s"), F.col("_class").alias("_k"), F.ceil(F.col("_n") / stratum_rows).alias("_parts"), "source_size", "target"), "strata")
     told = _joined(rows, strata, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_k")))
-    told = told.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_parts")))
+    told = told.withColumn("_part", F.pmod(F.xxhash64("_hash", F.lit(seed)), F.col("_parts")))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     out = told.withColumn("_rate", rate).withColumn("_whole", F.floor("_rate")).withColumn("_fraction", F.col("_rate") - F.col("_whole"))
-    place = F.row_number().over(W.partitionBy("source", "_class", "_part").orderBy("size", F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
+    place = F.row_number().over(W.partitionBy("source", "_class", "_part").orderBy("size", F.xxhash64("_hash", F.lit(seed)), "doc_id"))
     start = _uniform(F.xxhash64("source", "_class", "_part", F.lit(seed)))
     moved = start + (place - 1) * F.col("_fraction")
     copies = F.col("_whole") + F.when(F.floor(moved + F.col("_fraction")) > F.floor(moved), 1).otherwise(0)
