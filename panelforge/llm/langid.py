@@ -338,11 +338,14 @@ def predict(docs: DataFrame, model: Model | Tables | None, text_col: str = "text
     return docs.select(*columns, said(F.col(text_col).cast("string")).alias(held_as)).select(*columns, f"{held_as}.*")
 
 
-def _predict_by_tables(docs: DataFrame, columns: list[str], model: Tables, text_col: str, block_bits: int = 10) -> DataFrame:
-    """predict() for a model in tables: blocks of 2 ** block_bits rows meet the probabilities of their own four-grams."""
+def _predict_by_tables(docs: DataFrame, columns: list[str], model: Tables, text_col: str, block_bits: int = 10, alone_bytes: int = 65_536) -> DataFrame:
+    """predict() for a model in tables: blocks of 2 ** block_bits rows meet the probabilities of their own four-grams.
+
+    A text of more than alone_bytes is a block of its own, so a block has 64 MiB of texts at most, or one text.
+    """
     langs, reject_over = model.langs, model.reject_over
     numbered = docs.select(*[F.col(c).alias(f"in_{k}") for k, c in enumerate(columns)], F.col(text_col).cast("string").alias("_text"))
-    numbered = stored(numbered.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_row", block_bits)), "texts")
+    numbered = stored(numbered.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.when(F.octet_length("_text") > alone_bytes, -1 - F.col("_row")).otherwise(F.shiftright("_row", block_bits))), "texts")
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -419,7 +419,7 @@ def test_language_id_keeps_all_grams(spark):
         want = {(x, k): v for j, x in enumerate(whole.langs) for k, v in zip(whole.grams[n], whole.seen[n][:, j])}
         assert all(want[k] == v for k, v in seen.items()) and all(seen.get(k, 0) == v for k, v in want.items())
     assert whole.reject_over.tolist() == tables.reject_over.tolist()
-    odd = docs_of(spark, [*texts, None, "", "dier thax unx", rare, "\u9fa0\u8c22 ab"], score=["z"] * 9)
+    odd = docs_of(spark, [*texts, None, "", "dier thax unx", rare, "\u9fa0\u8c22 ab", "the and that \u00e9 " * 6_000], score=["z"] * 10)
     a, b = (langid.predict(odd, m).orderBy("doc_id").collect() for m in (whole, tables))
     assert a == b and a[3].lang_pred == "rr" and not a[3].rejected
 
