@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import small_side, stored
+from panelforge.session import small_side, small_table, stored
 
 
 def numbered(df: DataFrame, order: list[str], column: str = "place") -> DataFrame:
@@ -29,7 +29,7 @@ def numbered(df: DataFrame, order: list[str], column: str = "place") -> DataFram
     part, at = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r[0], r[1]) for r in held.groupBy(part.alias("_part")).agg(F.count("*")).collect())  # a row a partition
     starts = list(accumulate([0, *[n for _, n in counts]]))
-    before = spark.createDataFrame([(p, starts[k]) for k, (p, _) in enumerate(counts)], "_part int, _before long")
+    before = small_table(spark, [(p, starts[k]) for k, (p, _) in enumerate(counts)], "_part int, _before long")
     return held.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + at).select(*df.columns, column)
 
 
@@ -245,7 +245,7 @@ def running_sum(series: DataFrame, time: str, value: str, column: str, block: in
     placed = numbered(series, [time], "_t").withColumn("_b", F.expr(f"_t div {block}L"))
     inside = placed.withColumn("_s", F.sum(value).over(Window.partitionBy("_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)))
     blocks = sorted((r[0], r[1]) for r in placed.groupBy("_b").agg(F.sum(value)).collect())  # a row a block
-    before = series.sparkSession.createDataFrame([(b, float(s)) for (b, _), s in zip(blocks, accumulate([0.0, *[float(s or 0) for _, s in blocks]]))], "_b long, _before double")
+    before = small_table(series.sparkSession, [(b, float(s)) for (b, _), s in zip(blocks, accumulate([0.0, *[float(s or 0) for _, s in blocks]]))], "_b long, _before double")
     kind = inside.schema["_s"].dataType
     return inside.join(F.broadcast(before), "_b").withColumn(column, (F.coalesce("_s", F.lit(0)) + F.col("_before")).cast(kind)).select(*series.columns, column)
 

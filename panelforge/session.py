@@ -52,6 +52,16 @@ def small_side(df: DataFrame, most_bytes: int = 64 << 20, row_bytes: int = 64) -
     return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str, most_literals: int = 2_000) -> DataFrame:
+    """A table of a few rows known to the driver, as literals of the plan: no Python worker makes it, as createDataFrame's would."""
+    if len(rows) > most_literals:
+        return spark.createDataFrame(rows, schema)
+    fields = [f.split() for f in schema.split(", ")]
+    row = lambda values: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(values, fields)])
+    one = spark.range(0, 1, 1, 1)
+    return one.select(F.inline(F.array(*[row(r) for r in rows]))) if rows else one.select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields]).limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
