@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.order import with_quantiles
-from panelforge.session import stored
+from panelforge.session import small_side, stored
 
 
 def top_k(frame: DataFrame, score: str, k: int, by: Sequence[str] = ("open_time",)) -> DataFrame:
@@ -52,42 +52,42 @@ def attribution(trades: DataFrame, by: list[str]) -> DataFrame:
 def prior_event(rows: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, take: list[str], most: int = 1_000_000) -> DataFrame:
     """As-of join: rows with the values `take` of the latest event of their keys strictly before `at`, else NULL.
 
-    One union and one window by key: both sides are sorted once, and no pair of rows is formed. A key with more than
-    `most` rows is dealt over blocks of time, cut at approximate quantiles of its times: each block is sorted by itself,
-    and the last event before it is carried in from a table of one row per block. Rows of one key and time stay together.
+    One union and one window by key: both sides are sorted once, and no pair of rows is formed. If a key has more than
+    `most` rows, all rows are sorted by range over all tasks and cut by their places into blocks of `most` rows; the last
+    event before a block is carried in from a table of one row per block and key. Rows of one key and time share a task
+    of that sort, but not a block.
     """
     value = F.struct(F.col(when).alias("prior_time"), *take)
     left = rows.withColumn("_row", F.struct(*rows.columns)).select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_late"), "_row", F.lit(None).cast(events.select(value.alias("v")).schema["v"].dataType).alias("_event"))
     right = events.filter(F.col(when).isNotNull()).select(*keys, F.col(when).alias("_t"), F.lit(1).alias("_late"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), value.alias("_event"))
     both = left.unionByName(right)
-    heavy = both.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-    largest = heavy.agg(F.max("_n")).first()[0]
-    if largest is None:
+    if both.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).isEmpty():
         w = Window.partitionBy(*keys).orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, -1)
         both = both.withColumn("_last", F.last("_event", ignorenulls=True).over(w))
     else:
-        both = _in_blocks(both, heavy, keys, -(-largest // most))
+        both = _in_blocks(both, keys, most)
     return both.filter("_row is not null").select("_row.*", "_last.prior_time", *[F.col(f"_last.{c}").alias(f"prior_{c}") for c in take])
 
 
-def _in_blocks(both: DataFrame, heavy: DataFrame, keys: list[str], blocks: int) -> DataFrame:
-    """The union of prior_event() with `_last`, its heavy keys (few: each has many rows) cut into blocks of time."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    same = F.lit(True)
-    for k, name in zip(keys, names):
-        same = same & F.col(k).eqNullSafe(F.col(name))
-    heavy = heavy.select(*[F.col(k).alias(name) for k, name in zip(keys, names)])
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    cuts = stored(both.select(*keys, "_t").join(F.broadcast(heavy), same).groupBy(*names).agg(F.percentile_approx("_t", shares, F.lit(10_000)).alias("_cuts")), "time_cuts")
-    cut = both.join(F.broadcast(cuts), same, "left").withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_t")))))
-    ends = cut.filter("_cuts is not null and _event is not null").groupBy(*keys, "_block").agg(F.max_by("_event", "_t").alias("_end"))
-    every = cuts.select(*names, F.explode(F.sequence(F.lit(0), F.lit(blocks))).alias("_at"))
-    ends = every.join(ends, same & (F.col("_at") == F.col("_block")), "left")
-    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    carried = stored(ends.select(*names, "_at", before.alias("_carried")), "carried_events")
-    w = Window.partitionBy(*keys, "_block").orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.drop(*names, "_cuts").withColumn("_inside", F.last("_event", ignorenulls=True).over(w))
-    return out.join(F.broadcast(carried), same & (F.col("_block") == F.col("_at")), "left").withColumn("_last", F.coalesce("_inside", "_carried"))
+def _in_blocks(both: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The union of prior_event() with `_last`, cut into blocks of `most` rows at most in the order of key and time.
+
+    A row's block follows from its place in its partition, so the work of a row doesn't grow with the number of blocks.
+    """
+    order = [*keys, "_t", "_late"]
+    held = stored(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "asof_rows")
+    cut = held.withColumn("_block", F.col("_at") - F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) % most)
+    ends = cut.groupBy(*keys, "_block").agg(F.max(F.when(F.col("_event").isNotNull(), F.col("_at"))).alias("_end"))
+    before = F.max("_end").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = stored(ends.withColumn("_before", before).filter("_before is not null").drop("_end"), "blocks")
+    events = held.filter("_event is not null").select("_at", F.col("_event").alias("_carried"))
+    carried = stored(events.join(small_side(wanted), F.col("_at") == F.col("_before")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_to"), "_carried"), "carried_events")
+    same = F.col("_block") == F.col("_to")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn("_inside", F.last("_event", ignorenulls=True).over(w))
+    return out.join(small_side(carried, row_bytes=256), same, "left").withColumn("_last", F.coalesce("_inside", "_carried"))
 
 
 def shadow_filters(entries: DataFrame, predicates: dict[str, Column], ret: str) -> DataFrame:

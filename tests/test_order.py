@@ -119,6 +119,29 @@ def test_asof_with_a_hot_key(spark, most):
     assert out.count() == len(left)
 
 
+def test_asof_with_many_blocks(spark):
+    """The work of a row doesn't grow with the number of blocks, here 8,000; equal times may lie on both sides of a cut."""
+    ids = spark.range(400_000).select("id", (F.col("id") * 7919 % 40_009).alias("t"))
+    events = ids.filter("id % 40 = 1").groupBy("t").agg(F.max("id").alias("e")).select(F.lit("hot").alias("k"), F.col("t").alias("w"), "e")
+    rows = ids.filter("id % 40 <> 1").select(F.lit("hot").alias("k"), "id", "t")
+    began = time.time()
+    got = reports.prior_event(rows, events, ["k"], "t", "w", ["e"], most=50).toPandas().sort_values("id")
+    took = time.time() - began
+    want = pd.merge_asof(rows.toPandas().sort_values("t"), events.toPandas().sort_values("w"), left_on="t", right_on="w", allow_exact_matches=False).sort_values("id")
+    assert len(got) == 390_000 and np.array_equal(got["prior_e"].fillna(-1), want["e"].fillna(-1)) and np.array_equal(got["prior_time"].fillna(-1), want["w"].fillna(-1))
+    assert took < 30, took
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_asof_with_equal_times(spark, most):
+    """Blocks inside one time and one key, without keys' values and without events."""
+    left = [(i, k, t) for i, (k, t) in enumerate([("a", 5)] * 30 + [("a", 6)] * 9 + [("b", 5)] * 8 + [(None, 4)] * 8 + [("a", None)] * 3)]
+    right = [("a", 5, "x"), ("a", 4, "w"), (None, 3, "n"), ("c", 1, "c")]
+    a, b = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, w int, v string")
+    got = {x.id: x.prior_v for x in reports.prior_event(a, b, ["k"], "t", "w", ["v"], most).collect()}
+    assert got == {i: {("a", 5): "w", ("a", 6): "x", (None, 4): "n"}.get((k, t)) for i, k, t in left}
+
+
 def test_a_million_times(spark):
     """The expanding median of a million times ends in half a minute and takes several tasks."""
     df = spark.range(1_000_000).select(F.col("id").alias("t"), F.sin(F.col("id") * 1.7).alias("v"))
